@@ -89,3 +89,15 @@ def slices(text: str, size: int = 1 << 20) -> Iterator[str]:
         yield text[start : min(cuts) + 1]
         start = min(cuts) + 1
     yield text[start:] if start else text
+
+
+def hot_lookup(rows: DataFrame, key: str, lookup: DataFrame, salt_on: list[str]) -> DataFrame:
+    """Left join of ``rows`` with ``lookup`` (one row a key), safe for a key that holds any share of ``rows``.
+
+    The lookup meets each key once for every salt that occurs with it, then rows join on key and salt.
+    ``rows`` is read twice and should be narrow. A null key finds nothing.
+    """
+    salted = rows.withColumn("_salt", spread(*[F.col(c) for c in salt_on]))
+    pairs = salted.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col("_salt").alias("_s")).distinct()
+    found = pairs.join(lookup.withColumnRenamed(key, "_lk"), F.col("_k") == F.col("_lk"), "inner").drop("_lk")
+    return salted.join(found, (F.col(key) == F.col("_k")) & (F.col("_salt") == F.col("_s")), "left").drop("_salt", "_k", "_s")
