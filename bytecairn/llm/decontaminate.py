@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, table
+from .common import lower_ascii, materialise, table
 
 #: Bytes that separate words once A-Z is folded; fixed by the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,7 +73,8 @@ def _covered(spans: Column) -> Column:
 def contamination(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """Per distinct (doc_id, text) with hits: spans, n_hit, the sorted item ids."""
     hits = find_hits(documents, benchmark, n)
-    per_doc = hits.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set(F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("_len")).alias("end")))).alias("_spans"), F.collect_set("_window").alias("_windows"))
+    # the scan runs once: both the spans and the item names are read from this
+    per_doc = materialise(hits.groupBy("doc_id", "_text_hash").agg(F.sort_array(F.collect_set(F.struct(F.col("_at").alias("start"), (F.col("_at") + F.col("_len")).alias("end")))).alias("_spans"), F.collect_set("_window").alias("_windows")))
     items = benchmark_windows(benchmark, n).where(F.col("_item").isNotNull()).groupBy("_window").agg(F.collect_set(F.col("_item").cast("string")).alias("_ids"))
     named = (
         per_doc.select("doc_id", "_text_hash", F.explode("_windows").alias("_window"))
