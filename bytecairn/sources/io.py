@@ -39,7 +39,8 @@ def contents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def keyset_page(rows: DataFrame, order: list[str], after: tuple | None, n: int) -> DataFrame:
     """The page of ``n`` rows behind the last one seen, and one more as a sign that there is more."""
     if after is not None:
-        rows = rows.where(F.struct(*order) > F.struct(*[F.lit(v) for v in after]))
+        last = F.struct(*[F.lit(v).cast(rows.schema[c].dataType).alias(c) for c, v in zip(order, after)])
+        rows = rows.where(F.struct(*order) > last)
     return rows.orderBy(*order).limit(n + 1)
 
 
