@@ -48,6 +48,17 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def packed(df: DataFrame, *keys: Column) -> DataFrame:
+    """All columns in one struct ``row``, beside some keys, so that no name of the input meets a working column."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *keys)
+
+
+def unpacked(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The packed columns again, those named in ``new`` put in place or added."""
+    kept = [new.pop(c).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns]
+    return df.select(*kept, *[v.alias(k) for k, v in new.items()])
+
+
 def fold_of(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; null keys count as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)

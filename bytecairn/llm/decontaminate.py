@@ -8,8 +8,8 @@ hit positions mark words, spans or whole documents.
 Defined cases: null and empty texts have no words and are clean; items of fewer than ``n`` words (but not
 none) are one window of their own length; items without words never occur; repeated items and repeated
 documents are each treated alone; null item ids cannot be named in the result but their windows still
-hit; an empty benchmark leaves everything clean. Rows that agree in doc_id and text share one result. Other columns
-pass through ``decontaminate`` untouched, and working columns carry a leading underscore name of their own.
+hit; an empty benchmark leaves everything clean. Rows that agree in doc_id and text share one result. Other columns,
+whatever their names, pass through ``decontaminate`` untouched.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, table
+from .common import lower_ascii, materialise, packed, table, unpacked
 
 #: Bytes that separate words once A-Z is folded; fixed by the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -113,11 +113,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, mo
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
     found = contamination(documents, benchmark, n)
-    same = F.col("_text_key").eqNullSafe(F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
-    keyed = documents.withColumn("_text_key", F.xxhash64("text"))
+    keyed = packed(documents, F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_text_key"))
+    same = F.col("_text_key").eqNullSafe(F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_doc"))
     if mode == "documents":
-        return keyed.join(found, same, "left_anti").drop("_text_key")
-    words = words_of(F.col("text"))
+        return unpacked(keyed.join(found, same, "left_anti"), documents.columns)
+    text = F.col("row.text")
+    words = words_of(text)
     # the spans of one text are few next to its words; runs between them are sliced, never tested word by word
     n_words = F.size(words)
     fence = F.concat(F.array(F.struct(F.lit(1).alias("start"), F.lit(1).alias("end"))), F.col("_spans"), F.array(F.struct((n_words + 1).alias("start"), (n_words + 1).alias("end"))))
@@ -132,7 +133,7 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, mo
     )
     cut = F.array_join(F.transform(steps, lambda r: F.array_join(F.slice(words, r["a"], r["b"] - r["a"]), " ")), " ")
     joined = keyed.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)).select(*documents.columns)
+    return unpacked(joined, documents.columns, text=F.when(F.col("_spans").isNull(), text).otherwise(cut))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

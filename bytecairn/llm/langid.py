@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, table
+from .common import fold_of, packed, table, unpacked
 
 WINDOW = 384
 WIDTHS = (2, 3, 4)
@@ -182,8 +182,8 @@ class Scorer:
 
 
 def training_sample(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows of each language at most: (text, lang)."""
-    rows = documents.where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
+    """About ``per_language`` rows of each language at most: (text, lang); ``learn`` is a condition on doc_id."""
+    rows = documents.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     share = F.broadcast(counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("_share")))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -198,9 +198,9 @@ def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with lang_pred and score."""
-    rest = documents.drop("lang_pred", "score")
+    rows = packed(documents)
     if model is None:
-        return rest.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+        return unpacked(rows, documents.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES columns wide
 
     @F.pandas_udf("lang_pred string, score double")
@@ -210,9 +210,9 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
             names, p = scorer.predict(list(texts))
             yield pd.DataFrame({"lang_pred": names, "score": p})
 
-    has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = rest.withColumn("_p", predict(F.when(has_letter, F.col("text")).otherwise(F.lit("-"))))
-    return scored.withColumns({"lang_pred": F.when(has_letter, F.col("_p.lang_pred")).otherwise(UNKNOWN), "score": F.when(has_letter, F.col("_p.score")).otherwise(0.0)}).drop("_p")
+    has_letter = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
+    scored = rows.withColumn("_p", predict(F.when(has_letter, F.col("row.text")).otherwise(F.lit("-"))))
+    return unpacked(scored, documents.columns, lang_pred=F.when(has_letter, F.col("_p.lang_pred")).otherwise(UNKNOWN), score=F.when(has_letter, F.col("_p.score")).otherwise(0.0))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ of every accepted pair is then verified on its segments, all else being equal.
 
 Defined cases: null texts stay null and have no lines; a null doc_id orders first; repeated rows (same
 doc_id and text) count as one document and keep the same lines; lines that end in a carriage return keep
-it. Extra columns pass through ``dedup_lines``; working columns start with an underscore.
+it. Extra columns, whatever their names, pass through ``dedup_lines``, but for n_lines and n_dropped, which it sets.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, packed, table, unpacked
 
 MIN_CHARS = 20
 SEGMENTS = 16
@@ -137,19 +137,16 @@ def _mask(kept: Column, n_lines: Column) -> Column:
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``documents`` with duplicate lines removed from ``text``, plus n_lines and n_dropped."""
     kept = kept_places(documents.select("doc_id", "text"), min_chars).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
-    keyed = documents.withColumn("_text_key", F.xxhash64("text"))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("_text_key").eqNullSafe(F.col("_hash")), "left")
-    return _rebuilt(joined, min_chars).select(*[c for c in documents.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
-
-
-def _rebuilt(joined: DataFrame, min_chars: int) -> DataFrame:
-    split = joined.withColumn("_lines", F.split("text", "\n")).withColumn("_n", F.coalesce(F.size("_lines"), F.lit(0)))
+    keyed = packed(documents, F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_text_key"))
+    joined = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_doc")) & F.col("_text_key").eqNullSafe(F.col("_hash")), "left")
+    text = F.col("row.text")
+    split = joined.withColumn("_lines", F.split(text, "\n")).withColumn("_n", F.coalesce(F.size("_lines"), F.lit(0)))
     masked = split.withColumn("_mask", _mask(F.coalesce("_kept", F.array().cast("array<int>")), F.col("_n")))
     stays = lambda x, i: (F.length(x) < min_chars) | (F.trim(x) == "") | (F.substring(F.col("_mask"), i + 1, F.lit(1)) == F.lit("1").cast("binary"))
     left = masked.withColumn("_left", F.filter("_lines", stays))
-    n_lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long")
-    n_left = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_left")).cast("long")
-    return left.withColumn("n_lines", n_lines).withColumn("n_dropped", n_lines - n_left).withColumn("text", F.array_join("_left", "\n"))
+    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long")
+    n_left = F.when(text.isNull(), F.lit(0)).otherwise(F.size("_left")).cast("long")
+    return unpacked(left, documents.columns, text=F.array_join("_left", "\n"), n_lines=n_lines, n_dropped=n_lines - n_left)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,8 @@ n), which is the method's own limit; memory holds one signature group's fingerpr
 
 Defined cases: null and empty texts have no words and fingerprint zero, linked like any other; a text of
 fewer words than a shingle is one shingle; a null doc_id takes part but names no component unless it is
-alone (then component_id is null); repeated rows keep one result row each; extra columns pass through
-``keep_one_per_component``.
+alone (then component_id is null); repeated rows keep one result row each; extra columns, whatever their names,
+pass through ``keep_one_per_component``.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_group_aggregate, materialise, spread, table
+from .common import hot_group_aggregate, materialise, packed, spread, table, unpacked
 
 SHINGLE = 4
 DISTANCE = 4
@@ -242,9 +242,9 @@ def keep_one_per_component(documents: DataFrame, shingle: int = SHINGLE) -> Data
     """
     result = near_duplicates(documents.select("doc_id", "text"), shingle)
     kept = result.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*documents.columns))
-    return rows.withColumn("_rank", F.row_number().over(first)).where((F.col("_rank") == 1) | F.col("doc_id").isNull()).drop("_rank")
+    rows = packed(documents, F.col("doc_id").alias("_key")).join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.xxhash64("row"))
+    return unpacked(rows.withColumn("_rank", F.row_number().over(first)).where((F.col("_rank") == 1) | F.col("_key").isNull()), documents.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
