@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
+def merge_intervals(rows: DataFrame, keys: list[str], ways: int = 1) -> DataFrame:
     """Islands: the union of each key's intervals. Touching intervals merge; empty ones are dropped.
 
-    The running maximum, not the previous end, keeps nested intervals in one island.
+    The running maximum, not the previous end, keeps nested intervals in one island. Union is associative:
+    with several ``ways`` every key is first merged in as many parts by a salt, and then the parts' islands, so that a key
+    with a large share of all rows is spread over tasks and only its islands meet.
     """
+    if ways > 1:
+        salted = rows.withColumn("_way", F.pmod(F.xxhash64("lo", "hi"), F.lit(ways)))
+        return merge_intervals(merge_intervals(salted, [*keys, "_way"]), keys)
     order = Window.partitionBy(*keys).orderBy("lo", "hi")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col("lo") > before), 1).otherwise(0)

@@ -18,6 +18,12 @@ def test_merge_nested_touching_and_empty(spark):
     assert rows_of(merged, "k", "lo", "hi") == [("d", 1, 2), ("g", 0, 4), ("g", 5, 8), ("n", 0, 12), ("t", 0, 8)]
 
 
+def test_merge_in_parts_is_the_same(spark):
+    rows = [("hot", (i * 37) % 500, (i * 37) % 500 + i % 7) for i in range(400)] + [("cold", 1, 2)]
+    df = spark.createDataFrame(rows, "k string, lo long, hi long")
+    assert rows_of(iv.merge_intervals(df, ["k"], ways=8), "k", "lo", "hi") == rows_of(iv.merge_intervals(df, ["k"]), "k", "lo", "hi")
+
+
 def test_merge_of_no_rows(spark):
     assert iv.merge_intervals(spark.createDataFrame([], "k string, lo long, hi long"), ["k"]).count() == 0
 
