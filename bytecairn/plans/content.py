@@ -133,8 +133,16 @@ QUERIES = {
         page_hashes,
         "WITH p AS (SELECT page_id, encode(html) AS c FROM pages), n AS (SELECT page_id, c, CAST(unnest(range(0, CAST(ceil(octet_length(c) / 4096.0) AS BIGINT))) AS INTEGER) AS page_no FROM p), s AS (SELECT page_id, page_no, c[page_no * 4096 + 1 : page_no * 4096 + 4096] AS part FROM n) SELECT page_id, page_no, sha256(part) AS hash, octet_length(part) AS bytes FROM s",
     ),
-    "merkle_roots": (merkle_roots, None),
-    "range_digests": (range_digests, None),
+    "merkle_roots": (
+        merkle_roots,
+        "WITH RECURSIVE p AS (SELECT page_id, encode(html) AS c FROM pages WHERE octet_length(encode(html)) > 0), h AS (SELECT page_id, list(sha256(c[n * 1024 + 1 : n * 1024 + 1024]) ORDER BY n) AS l FROM (SELECT page_id, c, unnest(range(0, CAST(ceil(octet_length(c) / 1024.0) AS BIGINT))) AS n FROM p) GROUP BY page_id), "
+        "t AS (SELECT page_id, len(l) AS leaves, l FROM h UNION ALL SELECT page_id, leaves, list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN sha256(l[2 * i + 1] || l[2 * i + 2]) ELSE l[2 * i + 1] END) FROM t WHERE len(l) > 1) "
+        "SELECT page_id, leaves, l[1] AS root FROM t WHERE len(l) = 1",
+    ),
+    "range_digests": (
+        range_digests,
+        sql(", s AS (SELECT stream_id, list(lo || ':' || hi || ':' || chunk_id ORDER BY lo, hi, chunk_id) AS parts FROM (SELECT DISTINCT stream_id, lo, hi, chunk_id FROM extents WHERE stream_id % 20 = 0) GROUP BY stream_id) SELECT stream_id, list_reduce(list_prepend('', parts), lambda a, x: sha256(a || x)) AS digest FROM s", "extents"),
+    ),
     "checksums": (checksums, "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS bytes FROM documents"),
     "compression_policy": (compression_policy, None),
     "integrity_gaps": (

@@ -250,7 +250,16 @@ QUERIES = {
         f"WITH r AS (SELECT user_id AS physical, {SECONDS_SQL.format('ts')} AS t FROM events WHERE event_type = 'view'), w AS (SELECT physical, (t - min(t) OVER (PARTITION BY physical)) // {2 * DAY} AS w FROM r), c AS (SELECT physical, w, count(*) AS reads FROM w GROUP BY physical, w HAVING count(*) >= 3) SELECT physical, count(*) AS hot_windows, max(reads) AS most FROM c GROUP BY physical",
     ),
     "pack_layout": (pack_layout, sql("SELECT source, chunk_id, stored, CAST(sum(stored) OVER (PARTITION BY source ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) - stored + 8 AS BIGINT) AS offset FROM chunks WHERE kind = 'pack'".replace(" AS offset", ' AS "offset"'), "chunks")),
-    "pack_first_fit": (pack_first_fit, None),
+    "pack_first_fit": (
+        pack_first_fit,
+        "WITH RECURSIVE " + sql(""", uses AS (SELECT chunk_id, count(DISTINCT stream_id) AS streams FROM extents GROUP BY chunk_id),
+firsts AS (SELECT stream_id, chunk_id, min(lo) AS lo, any_value(raw_size) AS raw_size FROM extents JOIN chunks USING (chunk_id) JOIN uses USING (chunk_id) WHERE kind = 'encoding' AND streams <= 40 GROUP BY stream_id, chunk_id),
+c AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY lo, chunk_id) AS n FROM firsts),
+walk AS (SELECT DISTINCT stream_id, CAST(NULL AS BIGINT) AS chunk_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, CAST(0 AS BIGINT) AS chosen, false AS closed, false AS taken, CAST(0 AS BIGINT) AS size FROM c
+UNION ALL SELECT w.stream_id, c.chunk_id, c.n, CASE WHEN NOT closed AND total + raw_size <= 1200 THEN total + raw_size ELSE total END, CASE WHEN NOT closed AND total + raw_size <= 1200 THEN chosen + 1 ELSE chosen END,
+  closed OR (total + raw_size > 1200 AND chosen > 0), NOT closed AND total + raw_size <= 1200, raw_size FROM walk w JOIN c ON c.stream_id = w.stream_id AND c.n = w.n + 1)
+SELECT stream_id, chunk_id, CAST(chosen - 1 AS INTEGER) AS position, total - size AS start FROM walk WHERE taken""", "extents", "chunks").removeprefix("WITH "),
+    ),
     "coalesced_gets": (
         coalesced_gets,
         sql(", s AS (SELECT DISTINCT stream_id, chunk_id, lo, hi FROM extents WHERE lo < hi), o AS (SELECT *, CASE WHEN lag(hi) OVER (PARTITION BY stream_id, chunk_id ORDER BY lo, hi) = lo THEN 0 ELSE 1 END AS opens FROM s) SELECT stream_id, CAST(sum(opens) AS BIGINT) AS gets, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM o GROUP BY stream_id", "extents"),

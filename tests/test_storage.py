@@ -126,3 +126,26 @@ def test_page_hashes_and_verification(spark):
     good = hashlib.sha256(b"x").hexdigest()
     rows = spark.createDataFrame([(1, bytearray(b"x"), good, 1), (2, bytearray(b"y"), good, 1), (3, bytearray(b"xx"), good, 1), (4, None, good, 1)], "k long, c binary, e string, s long")
     assert {r["k"]: r["code"] for r in ct.verify_content(rows, F.col("c"), "e", "s").collect()} == {2: "hash", 3: "length", 4: "missing"}
+
+
+def test_chunk_query_matches_plain_code(spark, data):
+    from bytecairn.plans import content as plan
+
+    texts = [(r[0] or "").encode() for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()] + [(r[0] or "").encode() for r in spark.read.parquet(f"{data}/pages.parquet").select("html").collect()]
+    chunks = [t[a:b] for t in texts for a, b in (lambda e: zip([0, *e], e))(ct.cut_points(t, 256, 1024, 4096))]
+    got = plan.cdc_chunk_dedup(spark, data).first()
+    assert (got["chunks"], got["unique_chunks"], got["logical_bytes"], got["unique_bytes"]) == (len(chunks), len(set(chunks)), sum(map(len, chunks)), sum(map(len, set(chunks))))
+
+
+def test_compression_policy(spark):
+    rows = [(1, bytearray(b"repeated words " * 500)), (2, bytearray(random.Random(1).randbytes(8000))), (3, None), (4, bytearray())]
+    df = spark.createDataFrame(rows, "k long, c binary")
+    assert {r["k"]: r["compress"] for r in ct.compression_policy(df, F.col("c")).collect()} == {1: True, 2: False, 3: False, 4: False}
+    assert {r["compress"] for r in ct.compression_policy(df, F.col("c"), "always").collect()} == {True}
+
+
+def test_promotion_and_placement(spark):
+    reads = spark.createDataFrame([("u", t) for t in (0, 1, 2, 10, 11, 12, 30)] + [("v", 5)], "physical string, at_seconds long")
+    assert [tuple(r) for r in tiering.promotion_pressure(reads, 10, 3).collect()] == [("u", 2, 3)]
+    copies = spark.createDataFrame([("a", "hot", 5, False), ("a", "cold", 5, False), ("b", "cold", 7, False), ("c", "hot", 1, True)], "physical string, tier string, bytes long, retiring boolean")
+    assert {r["role"]: r["bytes"] for r in tiering.placement_usage(copies).collect()} == {"hot": 5, "duplicate": 5, "cold": 7, "retiring": 1}
