@@ -84,11 +84,14 @@ def dedup_ratio(chunks: DataFrame, keys: list[str], size: str) -> DataFrame:
     return unique.agg(F.sum("_n").alias("chunks"), F.count(F.lit(1)).alias("unique_chunks"), F.sum(F.col("_n") * F.col("_s")).cast("long").alias("logical_bytes"), F.sum("_s").cast("long").alias("unique_bytes"))
 
 
+def parts_of(text: Column, width: int) -> Column:
+    """A text in parts of ``width`` characters, in one pass; an empty text is one empty part."""
+    return F.when(F.length(text) == 0, F.array(F.lit(""))).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{width}}}"), F.lit(0)))
+
+
 def fixed_blocks(rows: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """Fixed-width blocks of a text's characters: key, block number, block."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / width)).cast("int")
-    numbered = rows.select(key, text, F.explode(F.sequence(F.lit(0), n - 1)).alias("block_no"))
-    return numbered.select(key, "block_no", F.substring(F.col(text), F.col("block_no") * width + 1, F.lit(width)).alias("block"))
+    return rows.select(key, F.posexplode(parts_of(F.col(text), width)).alias("block_no", "block"))
 
 
 def merkle_root(hashes: Column) -> Column:

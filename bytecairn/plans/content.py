@@ -32,9 +32,7 @@ def cdc_chunk_dedup(spark, d):
 def multipart_etag(spark, d):
     """ETags of texts uploaded in parts of 1000 characters."""
     docs = table(spark, d, "documents").where("length(text) > 0")
-    n = F.ceil(F.length("text") / 1000).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * 1000 + 1, F.lit(1000)))
-    return docs.select("doc_id", fx.multipart_etag(parts).alias("etag"))
+    return docs.select("doc_id", fx.multipart_etag(ct.parts_of(F.col("text"), 1000)).alias("etag"))
 
 
 def page_hashes(spark, d):
