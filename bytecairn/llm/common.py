@@ -44,6 +44,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/bytecairn-{what}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame, megabytes: int = 8) -> DataFrame:
+    """``df``, with the Arrow batches of its session bounded in bytes, for the sake of very long texts in Python workers."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
+    return df
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

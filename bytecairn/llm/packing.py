@@ -9,7 +9,7 @@ row is lost). Each round is checkpointed, and a group is sorted before it is pac
 task gives the same bins.
 
 Tokenizing goes word by word: this tokenizer never joins text across white space, so the ids of a text are
-those of its space-separated parts, which a bounded cache holds.
+those of its space-separated words, which bounded caches hold.
 
 Defined cases: null and empty texts are one piece, the end id alone; texts of any length are cut into
 ``CAPACITY``-token pieces; repeated rows and null ids are packed like any other; an empty table gives
@@ -18,8 +18,11 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise, slices, table
+from .common import materialise, slices, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -36,32 +39,63 @@ NEARLY_FULL = 0.995
 FAN_IN = 8
 PASS_ON = 20_000
 GROUP_ITEMS = FAN_IN * PASS_ON
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+CACHE_PARTS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ITEM = f"struct<{', '.join(f'{n}:{t}' for n, t in (c.split() for c in PIECE.split(', ')))}>"
 BIN = f"fill int, done boolean, bin long, items array<{ITEM}>"
 
-_tokenizers: dict[str, tuple[Tokenizer, dict[str, bytes]]] = {}
+#: How the byte-level alphabet writes a byte: printable Latin-1 as itself, the rest from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+ALPHABET = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+#: Letters up to here are the same to Python and to the tokenizer's expressions.
+LAST_LATIN = "\u024f"
 
 
-def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
-    if path not in _tokenizers:
-        _tokenizers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _tokenizers[path]
-    out = []
-    for part in slices(text):
-        words = part.replace("\n", " ").split(" ")
-        fresh = [w for w in dict.fromkeys(words) if w not in cache]
-        if len(cache) + len(fresh) > CACHE_WORDS:
-            cache.clear()
-            fresh = list(dict.fromkeys(words))
-        for word, got in zip(fresh, tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            cache[word] = np.array(got.ids, dtype="<u4").tobytes()
-        out.append(b"".join(map(cache.__getitem__, words)))
-    return b"".join(out)
+class WordTokenizer(dict):
+    """Ids of single space-free words, as little-endian unsigned 32-bit integers, kept as they are asked for.
+
+    Most words are Latin letters with ASCII punctuation behind them. The tokenizer lower-cases those and splits
+    them into the letters and the punctuation, each of which its model then merges; the parts repeat
+    across cases and endings, so they are kept on their own. Any other word goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, text: str) -> bytes:
+        if (got := self.parts.get(text)) is None:
+            if len(self.parts) >= CACHE_PARTS:
+                self.parts.clear()
+            written = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(ALPHABET)
+            ids = [t.id for t in self.model.tokenize(written)]
+            got = self.parts[text] = pack_ids(f"<{len(ids)}I", *ids)
+        return got
+
+    def __missing__(self, word: str) -> bytes:
+        letters = word.rstrip(string.punctuation)
+        got = None
+        if letters.isalpha() and (letters.isascii() or max(letters) <= LAST_LATIN):
+            lower = letters.lower()
+            if lower.isalpha() and unicodedata.is_normalized("NFC", lower):
+                got = self.part(lower) + (self.part(word[len(letters) :]) if len(letters) < len(word) else b"")
+        if got is None:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            got = pack_ids(f"<{len(ids)}I", *ids)
+        self[word] = got
+        return got
+
+    def text(self, text: str) -> bytes:
+        out = []
+        for part in slices(text):
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            out.append(b"".join(map(self.__getitem__, part.replace("\n", " ").split(" "))))
+        return b"".join(out)
 
 
 def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None, with_ids: bool = False) -> DataFrame:
@@ -69,10 +103,11 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     file = path or public_tokenizers.path(VOCABULARY)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tokenizer = WordTokenizer(file)  # its caches go with the task
         for pdf in batches:
             rows = []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
-                ids = token_bytes(text or "", file) + END_ID.to_bytes(4, "little")
+                ids = tokenizer.text(text or "") + END_ID.to_bytes(4, "little")
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype(np.int32) if with_ids else None))
@@ -80,7 +115,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
+    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
