@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, packed, table, unpacked
+from .common import fold_of, packed, small_batches, table, unpacked
 
 WINDOW = 384
 WIDTHS = (2, 3, 4)
@@ -198,7 +198,7 @@ def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with lang_pred and score."""
-    rows = packed(documents)
+    rows = packed(small_batches(documents))
     if model is None:
         return unpacked(rows, documents.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES columns wide

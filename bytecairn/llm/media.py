@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_lookup, scratch_path, table
+from .common import hot_lookup, scratch_path, small_batches, table
 
 WIDTH = 192
 SCHEME = "sha256:"
@@ -177,7 +177,7 @@ def store_texts(documents: DataFrame, path: str) -> None:
                     seen.add(key)
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "html": pages, "digest": digests, "media": media})
 
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text")
+    rows = small_batches(documents).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text")
     stored = rows.mapInPandas(store, "row long, doc_id string, html string, digest string, media binary")
     stored.write.option("compression", "zstd").parquet(path)
 

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, packed, table, unpacked
+from .common import fold_of, packed, small_batches, table, unpacked
 
 PER_CLASS = 1500
 TRAIN_LINES = 128
@@ -244,7 +244,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
                     rows.append((x[at : at + TRAIN_LINES].tobytes(), size[at : at + TRAIN_LINES].tobytes(), int(label)))
             yield pd.DataFrame(rows, columns=["x", "size", "label"])
 
-    rows = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "inner").where(F.length("text") > 0)
+    rows = small_batches(documents).select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "inner").where(F.length("text") > 0)
     rows = rows.select("text", "quality", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("start"))
     got = sorted((r["label"], bytes(r["x"]), bytes(r["size"])) for r in rows.mapInPandas(features, "x binary, size binary, label int").collect())
     if not got:
@@ -260,7 +260,7 @@ def score_quality(documents: DataFrame, crf: Crf) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(quality_of(crf, list(texts)))
 
-    scored = packed(documents).withColumn("_score", score("row.text"))
+    scored = packed(small_batches(documents)).withColumn("_score", score("row.text"))
     return unpacked(scored, documents.columns, score=F.col("_score"), predicted=(F.col("_score") >= 0.5).cast("int"))
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_group_aggregate, materialise, packed, spread, table, unpacked
+from .common import hot_group_aggregate, materialise, packed, small_batches, spread, table, unpacked
 
 SHINGLE = 4
 DISTANCE = 4
@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash64(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return documents.select("doc_id", fp("text").alias("fp"))
+    return small_batches(documents).select("doc_id", fp("text").alias("fp"))
 
 
 def _masks() -> list[int]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_group_aggregate, materialise, scratch_path, table
+from .common import hot_group_aggregate, materialise, scratch_path, small_batches, table
 
 REVISIT_BYTES = 100
 #: Uncompressed bytes after which an archive is closed.
@@ -167,7 +167,7 @@ def write_archives(planned: DataFrame, path: str) -> None:
         if held:
             yield close()
 
-    exact = planned.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
+    exact = small_batches(planned).select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
     exact.mapInPandas(write, "name string, index array<long>, content binary").write.parquet(path)
 
 
