@@ -32,5 +32,6 @@ def test_fold_matches_crc32(spark):
 
 
 def test_shared_dir_reads_the_session(spark):
-    assert common.shared_dir(spark) == common.LOCAL_CHECKPOINTS
-    assert common.scratch_path(spark, "x").startswith(common.LOCAL_CHECKPOINTS)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.shared_dir(spark) == (named or common.LOCAL_CHECKPOINTS).rstrip("/")
+    assert common.scratch_path(spark, "x").startswith(common.shared_dir(spark))
