@@ -145,6 +145,10 @@ def test_model_counts_and_gain(spark, small):
     assert all(r["score"] < 0 for r in got)
 
 
+def tokens_of(texts, vocab):
+    return maxent.Tokens(texts, maxent.Lexicon(dict.fromkeys(w for t in texts for w in t), vocab))
+
+
 def test_model_is_a_distribution():
     """Head words, tail words and one unseen word per tail class add up to one in any context."""
     rng = np.random.default_rng(3)
@@ -167,14 +171,14 @@ def test_model_is_a_distribution():
     weights.word_rows[:] = rng.normal(0, 0.5, weights.word_rows.shape)
     total = 0.0
     for w in words:
-        t = maxent.Tokens([[b"a", b"b", w]], vocab)
+        t = tokens_of([[b"a", b"b", w]], vocab)
         tail = np.log((counts[w] + 1) / (tokens + types + 1)[t.cls])
         total += math.exp(maxent.log_probabilities(t, weights, tail)[2])
-    t = maxent.Tokens([[b"a", b"b"]], vocab)
+    t = tokens_of([[b"a", b"b"]], vocab)
     total += math.exp(maxent.log_probabilities(t, weights, np.log(31 / (tokens + types + 1)[t.cls]))[2])
     for r in range(maxent.TAILS):  # the unseen share of every tail class
         at = maxent.HEAD // maxent.SLOTS + r
-        own = maxent._log_softmax(maxent._scores(weights.rows, t.features(slice(2, 3)) % maxent.ROWS, weights.bias))[0, at]
+        own = maxent._chosen(maxent._scores(weights.rows, t.features(slice(2, 3)) % maxent.ROWS, weights.bias), np.array([at]))[0]
         total += math.exp(own) / (tokens[at] + types[at] + 1)
     assert total == pytest.approx(1, abs=1e-4)
 
@@ -190,8 +194,8 @@ def test_model_edges(spark, edge, no_documents):
 
 def test_features_do_not_cross_texts():
     vocab = maxent.Vocabulary({}, 0, 0, 0, np.zeros(maxent.CLASSES), np.zeros(maxent.CLASSES), np.zeros(maxent.HEAD))
-    both = maxent.Tokens([[b"a"], [], [b"b", b"c"]], vocab)
-    apart = [maxent.Tokens([t], vocab) for t in ([b"a"], [], [b"b", b"c"])]
+    both = tokens_of([[b"a"], [], [b"b", b"c"]], vocab)
+    apart = [tokens_of([t], vocab) for t in ([b"a"], [], [b"b", b"c"])]
     assert both.one.tolist() == [x for t in apart for x in t.one.tolist()]
     assert both.two.tolist() == [x for t in apart for x in t.two.tolist()]
     assert LONG
