@@ -127,11 +127,11 @@ def kept_places(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return distinct.select("place").join(near, "place", "left_anti").select("place.doc_id", F.col("place.h").alias("_text_hash"), F.col("place.no").alias("_no"))
 
 
-def _mask(kept: Column, n_lines: Column) -> Column:
-    """One byte a line, '1' for kept, from the sorted line numbers: linear in both."""
+def _marks(kept: Column, n_lines: Column) -> Column:
+    """One character a line, '1' for kept, from the sorted line numbers: linear in both."""
     gap = lambda k, i: k - F.coalesce(F.get(kept, i - 1), F.lit(-1)) - 1
     marks = F.array_join(F.transform(kept, lambda k, i: F.concat(F.repeat(F.lit("0"), gap(k, i)), F.lit("1"))), "")
-    return F.rpad(marks, n_lines, F.lit("0")).cast("binary")
+    return F.split(F.rpad(marks, n_lines, F.lit("0")), "")
 
 
 def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -139,14 +139,16 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     kept = kept_places(documents.select("doc_id", "text"), min_chars).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
     keyed = packed(documents, F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_text_key"))
     joined = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_doc")) & F.col("_text_key").eqNullSafe(F.col("_hash")), "left")
-    text = F.col("row.text")
-    split = joined.withColumn("_lines", F.split(text, "\n")).withColumn("_n", F.coalesce(F.size("_lines"), F.lit(0)))
-    masked = split.withColumn("_mask", _mask(F.coalesce("_kept", F.array().cast("array<int>")), F.col("_n")))
-    stays = lambda x, i: (F.length(x) < min_chars) | (F.trim(x) == "") | (F.substring(F.col("_mask"), i + 1, F.lit(1)) == F.lit("1").cast("binary"))
-    left = masked.withColumn("_left", F.filter("_lines", stays))
-    n_lines = F.when(text.isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long")
-    n_left = F.when(text.isNull(), F.lit(0)).otherwise(F.size("_left")).cast("long")
-    return unpacked(left, documents.columns, text=F.array_join("_left", "\n"), n_lines=n_lines, n_dropped=n_lines - n_left)
+    lines = F.split(F.col("row.text"), "\n")
+    marks = _marks(F.coalesce("_kept", F.array().cast("array<int>")), F.size(lines))
+    # lines and marks are walked side by side; a mask looked up inside the function would be made anew for every line
+    stays = lambda x, mark: F.when((F.length(x) < min_chars) | (F.trim(x) == "") | (mark == "1"), x)
+    left = F.filter(F.zip_with(lines, marks, stays), lambda x: x.isNotNull())
+    # the generator is a fence: what follows reads the result and does not repeat the work
+    fenced = joined.select("row", F.inline(F.array(F.struct(left.alias("_left"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n")))))
+    n_lines = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long")
+    n_left = F.when(F.col("row.text").isNull(), F.lit(0)).otherwise(F.size("_left")).cast("long")
+    return unpacked(fenced, documents.columns, text=F.array_join("_left", "\n"), n_lines=n_lines, n_dropped=n_lines - n_left)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
