@@ -117,11 +117,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, mo
     same = F.col("_text_key").eqNullSafe(F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_doc"))
     if mode == "documents":
         return unpacked(keyed.join(found, same, "left_anti"), documents.columns)
-    text = F.col("row.text")
-    words = words_of(text)
+    # the generator is a fence: the words are made once a text, not once a run
+    words = F.when(F.col("_spans").isNotNull(), words_of(F.col("row.text")))
+    joined = keyed.join(found, same, "left").select("row", "_spans", F.inline(F.array(F.struct(words.alias("_w")))))
     # the spans of one text are few next to its words; runs between them are sliced, never tested word by word
-    n_words = F.size(words)
-    fence = F.concat(F.array(F.struct(F.lit(1).alias("start"), F.lit(1).alias("end"))), F.col("_spans"), F.array(F.struct((n_words + 1).alias("start"), (n_words + 1).alias("end"))))
+    past = F.size("_w") + 1
+    fence = F.concat(F.col("_spans"), F.array(F.struct(past.alias("start"), past.alias("end"))))
     steps = F.aggregate(
         fence,
         F.struct(F.array().cast("array<struct<a:int,b:int>>").alias("runs"), F.lit(1).alias("at")),
@@ -131,9 +132,8 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM, mo
         ),
         lambda acc: acc["runs"],
     )
-    cut = F.array_join(F.transform(steps, lambda r: F.array_join(F.slice(words, r["a"], r["b"] - r["a"]), " ")), " ")
-    joined = keyed.join(found, same, "left")
-    return unpacked(joined, documents.columns, text=F.when(F.col("_spans").isNull(), text).otherwise(cut))
+    cut = F.array_join(F.transform(steps, lambda r: F.array_join(F.slice("_w", r["a"], r["b"] - r["a"]), " ")), " ")
+    return unpacked(joined, documents.columns, text=F.when(F.col("_spans").isNull(), F.col("row.text")).otherwise(cut))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
