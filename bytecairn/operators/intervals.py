@@ -44,10 +44,10 @@ def coverage(islands: DataFrame, segments: DataFrame, key: str) -> DataFrame:
 
 def fair_shares(covered: DataFrame, key: str, group: str, owner: str) -> DataFrame:
     """A segment's bytes, split evenly over groups and within a group over its owners."""
-    by_group = covered.groupBy(key, "lo", "hi", group).agg(F.count(F.lit(1)).alias("_owners"))
-    groups = F.count(F.lit(1)).over(Window.partitionBy(key, "lo", "hi"))
-    counted = by_group.withColumn("_groups", groups)
-    return covered.join(counted, [key, "lo", "hi", group]).withColumn("share", (F.col("hi") - F.col("lo")) / F.col("_groups") / F.col("_owners")).drop("_groups", "_owners")
+    within, spot = Window.partitionBy(key, "lo", "hi", group), Window.partitionBy(key, "lo", "hi")
+    # one owner of every group stands for it; all windows use the partitioning by key that the coverage join left
+    marked = covered.withColumns({"_owners": F.count(F.lit(1)).over(within), "_lead": F.when(F.row_number().over(within.orderBy(owner)) == 1, 1)})
+    return marked.withColumn("share", (F.col("hi") - F.col("lo")) / F.count("_lead").over(spot) / F.col("_owners")).drop("_owners", "_lead")
 
 
 def attribute(shares: DataFrame, chunks: DataFrame, owner_cols: list[str]) -> DataFrame:
@@ -56,11 +56,11 @@ def attribute(shares: DataFrame, chunks: DataFrame, owner_cols: list[str]) -> Da
     A chunk without a source is pending and attributes null.
     """
     per_chunk = shares.groupBy(*owner_cols, "chunk_id").agg(F.sum("share").alias("share"), F.sum(F.col("hi") - F.col("lo")).alias("unique_bytes"))
-    sourced = per_chunk.join(chunks.select("chunk_id", "source", "stored"), "chunk_id", "left")
-    raw = shares.join(chunks.select("chunk_id", "source"), "chunk_id").where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("share").alias("_raw"))
+    sourced = per_chunk.join(chunks.select("chunk_id", "source"), "chunk_id", "left")
+    # sums are partial before they are shuffled, so neither a large pack nor the pending chunks gather in a task
+    raw = sourced.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("share").alias("_raw"))
     held = chunks.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("stored").alias("_held"))
-    totals = raw.join(held, "source")
-    return sourced.join(totals, "source", "left").withColumn("encoded", F.col("share") / F.col("_raw") * F.col("_held"))
+    return sourced.join(raw.join(held, "source"), "source", "left").withColumn("encoded", F.col("share") / F.col("_raw") * F.col("_held")).drop("_raw", "_held")
 
 
 def usage_of(attributed: DataFrame, logical: DataFrame, by: list[str]) -> DataFrame:
