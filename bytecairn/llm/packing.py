@@ -72,13 +72,15 @@ class WordTokenizer(dict):
             if len(self.parts) >= CACHE_PARTS:
                 self.parts.clear()
             written = text if text.isascii() else text.encode("utf-8").decode("latin-1").translate(ALPHABET)
-            ids = [t.id for t in self.model.tokenize(written)]
-            got = self.parts[text] = pack_ids(f"<{len(ids)}I", *ids)
+            got = self.parts[text] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
         return got
 
     def __missing__(self, word: str) -> bytes:
+        got = self.parts.get(word) if word.islower() else None
+        if got is not None:
+            self[word] = got
+            return got
         letters = word.rstrip(string.punctuation)
-        got = None
         if letters.isalpha() and (letters.isascii() or max(letters) <= LAST_LATIN):
             lower = letters.lower()
             if lower.isalpha() and unicodedata.is_normalized("NFC", lower):
