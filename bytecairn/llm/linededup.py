@@ -2,7 +2,8 @@
 
 Two lines are duplicates when their edit distance (code points) is at most one. A line occurrence is kept
 if no earlier occurrence, in order of (doc_id, text hash, line number), is a duplicate of it; every other
-occurrence is dropped. Blank lines and lines of fewer than ``MIN_CHARS`` characters are always kept.
+occurrence is dropped. Blank lines are always kept. Lines of fewer than ``MIN_CHARS`` characters are kept too, unless
+``short_exact`` asks that exact repeats of them go as well; the edit bound is for the longer lines alone.
 
 How the join stays small without losing a link. An edit changes one place, so of two duplicate lines cut
 into segments at the same places, all but one segment agree. Lines whose prefix half or suffix half no
@@ -62,11 +63,14 @@ def _half_keys(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _distinct_lines(documents: DataFrame, min_chars: int) -> DataFrame:
-    """Each distinct eligible line: its first place (doc_id, h, no) and its half keys; no texts."""
+def _distinct_lines(documents: DataFrame, min_chars: int, short_exact: bool) -> DataFrame:
+    """Each distinct eligible line: its first place (doc_id, h, no) and its half keys (none for a short line); no texts."""
     numbered = documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    eligible = numbered.where((F.length("line") >= min_chars) & (F.trim("line") != ""))
-    keyed = eligible.select(_key(F.col("line")).alias("id"), F.struct("doc_id", "h", "no").alias("place"), _half_keys(F.col("line")).alias("halves"))
+    long, halves = F.length("line") >= min_chars, _half_keys(F.col("line"))
+    eligible = numbered.where((F.lit(True) if short_exact else long) & (F.trim("line") != ""))
+    if short_exact:
+        halves = F.when(long, halves).otherwise(F.array().cast("array<bigint>"))
+    keyed = eligible.select(_key(F.col("line")).alias("id"), F.struct("doc_id", "h", "no").alias("place"), halves.alias("halves"))
     return keyed.groupBy("id").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
@@ -120,9 +124,9 @@ def near_duplicates(documents: DataFrame, distinct: DataFrame) -> DataFrame:
     return near.where(F.levenshtein(F.col("w"), F.col("other.w")) <= 1).select("place").distinct()
 
 
-def kept_places(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def kept_places(documents: DataFrame, min_chars: int = MIN_CHARS, short_exact: bool = False) -> DataFrame:
     """The place of every eligible line occurrence that stays."""
-    distinct = materialise(_distinct_lines(documents, min_chars))
+    distinct = materialise(_distinct_lines(documents, min_chars, short_exact))
     near = near_duplicates(documents, distinct)
     return distinct.select("place").join(near, "place", "left_anti").select("place.doc_id", F.col("place.h").alias("_text_hash"), F.col("place.no").alias("_no"))
 
@@ -134,15 +138,16 @@ def _marks(kept: Column, n_lines: Column) -> Column:
     return F.split(F.rpad(marks, n_lines, F.lit("0")), "")
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, short_exact: bool = False) -> DataFrame:
     """``documents`` with duplicate lines removed from ``text``, plus n_lines and n_dropped."""
-    kept = kept_places(documents.select("doc_id", "text"), min_chars).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
+    kept = kept_places(documents.select("doc_id", "text"), min_chars, short_exact).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
     keyed = packed(documents, F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_text_key"))
     joined = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_doc")) & F.col("_text_key").eqNullSafe(F.col("_hash")), "left")
     lines = F.split(F.col("row.text"), "\n")
     marks = _marks(F.coalesce("_kept", F.array().cast("array<int>")), F.size(lines))
     # lines and marks are walked side by side; a mask looked up inside the function would be made anew for every line
-    stays = lambda x, mark: F.when((F.length(x) < min_chars) | (F.trim(x) == "") | (mark == "1"), x)
+    exempt = lambda x: F.trim(x) == "" if short_exact else (F.length(x) < min_chars) | (F.trim(x) == "")
+    stays = lambda x, mark: F.when(exempt(x) | (mark == "1"), x)
     left = F.filter(F.zip_with(lines, marks, stays), lambda x: x.isNotNull())
     # the generator is a fence: what follows reads the result and does not repeat the work
     fenced = joined.select("row", F.inline(F.array(F.struct(left.alias("_left"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n")))))

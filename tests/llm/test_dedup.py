@@ -84,6 +84,14 @@ def test_lines_edges(spark, edge, no_documents):
     assert ld.dedup_lines(no_documents).count() == 0
 
 
+def test_exact_repeats_of_short_lines_go_on_request(spark):
+    """Short lines: exact repeats go, near ones stay; a later copy of a document keeps nothing."""
+    whole = "a line that is long enough to be compared\nShort.\n\nNo. 1"
+    rows = [(1, whole), (2, whole + "\nNo. 2"), (3, "Short.\nshort.\nShort.\nan exact nineteenth\nan exact nineteenthx"), (4, whole)]
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_exact=True).collect()}
+    assert got == {1: (whole, 0), 2: ("\nNo. 2", 3), 3: ("short.\nan exact nineteenth\nan exact nineteenthx", 2), 4: ("", 3)}
+
+
 def test_lines_match_sql(spark, data):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
