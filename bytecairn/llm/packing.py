@@ -1,12 +1,11 @@
-"""Best-fit packing by hierarchical residual merging.
+"""Best-fit packing of all pieces at once, by the counts of their lengths.
 
-Documents are tokenized, pieces of full length are sequences at once, and every partition packs its other
-pieces best-fit, longest first. Bins filled to ``NEARLY_FULL`` are emitted; underfull bins become items of a
-next round with an eighth of the partitions, and so on up the tree until one group is left. A group takes
-at most ``GROUP_ITEMS`` items by design: what a round passes on is bounded by the ``PASS_ON`` least filled
-bins of each group, the fuller rest being emitted as they are (they are sequences like any other, so no
-row is lost). Each round is checkpointed, and a group is sorted before it is packed, so that a repeated
-task gives the same bins.
+Documents are tokenized and cut into pieces. Pieces of one length are alike to packing, so what is packed, longest
+first, each into the fullest sequence that takes it, are the lengths with their counts over the whole table
+(``CAPACITY`` of them at most, whatever the table's size). The plan says for ranges of a length's pieces
+which sequences they go to; a piece finds its place by its rank among those of its length. The rank is its number within
+its partition plus the count in the partitions before; nothing is gathered, and no piece is left out of the
+comparison. Numbered pieces are checkpointed, so that a repeated task gives the same ranks.
 
 Tokenizing goes word by word: this tokenizer never joins text across white space, so the ids of a text are
 those of its space-separated words, which bounded caches hold.
@@ -21,13 +20,15 @@ from __future__ import annotations
 import string
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -35,17 +36,14 @@ from .common import materialise, slices, small_batches, table
 
 CAPACITY = 4096
 END_ID = 1
-NEARLY_FULL = 0.995
+#: No longer of effect: once the arity of a tree of bins, and how many bins a group of it passed on.
 FAN_IN = 8
 PASS_ON = 20_000
-GROUP_ITEMS = FAN_IN * PASS_ON
 CACHE_WORDS = 500_000
 CACHE_PARTS = 300_000
 VOCABULARY = "word_bpe_49k.json"
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-ITEM = f"struct<{', '.join(f'{n}:{t}' for n, t in (c.split() for c in PIECE.split(', ')))}>"
-BIN = f"fill int, done boolean, bin long, items array<{ITEM}>"
 
 #: How the byte-level alphabet writes a byte: printable Latin-1 as itself, the rest from U+0100 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -141,55 +139,94 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def _round(capacity: int, pass_on: int, last: bool):
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([pdf for pdf in batches if len(pdf)] or [pd.DataFrame({"fill": [], "bin": [], "items": []})], ignore_index=True)
-        if not len(rows):
-            return
-        rows = rows.sort_values(["fill", "bin"], ascending=[False, True], ignore_index=True)
-        fills, ids, items = rows["fill"].astype(int).tolist(), rows["bin"].astype("int64").tolist(), rows["items"].tolist()
-        packed = [(sum(fills[i] for i in b), b) for b in best_fit(fills, capacity)]
-        open_bins = sorted((f, ids[b[0]], k) for k, (f, b) in enumerate(packed) if f < NEARLY_FULL * capacity)
-        passed = set() if last else {k for _, _, k in open_bins[:pass_on]}
-        for at in range(0, len(packed), 2000):
-            part = packed[at : at + 2000]
-            yield pd.DataFrame(
-                {
-                    "fill": [f for f, _ in part],
-                    "done": [at + k not in passed for k in range(len(part))],
-                    "bin": [ids[b[0]] for _, b in part],
-                    "items": [[x for i in b for x in items[i]] for _, b in part],
-                }
-            )
-
-    return pack
+def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
+    """What ``best_fit`` does to sorted lengths, from their counts: rows (length, rank, sequence, each, start).
 
+    From its ``rank`` on, the pieces of a length go ``each`` to a sequence into the sequences from ``sequence`` on,
+    the first of a sequence standing at ``start``. Sequences of equal room are kept as ranges, so the work depends on the
+    number of lengths and ranges, not on that of pieces.
+    """
+    plan: list[tuple[int, int, int, int, int]] = []
+    by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # ranges (first sequence, sequences)
+    rooms = 0  # bit r is set while a sequence with r free exists
+    sequences = 0
+
+    def put(room: int, first: int, n: int) -> None:
+        nonlocal rooms
+        if n and room:
+            by_room[room].append((first, n))
+            rooms |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            fitting = rooms >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                first, n = by_room[room].pop()
+                if not by_room[room]:
+                    rooms &= ~(1 << room)
+            else:
+                room, first, n = capacity, sequences, -(-left // (capacity // length))
+                sequences += n
+            # a sequence that took a piece is the fullest that takes the next, as long as it does
+            each = room // length
+            filled, rest = min(n, left // each), 0
+            if filled < n:
+                rest = left - filled * each
+            plan.append((length, rank, first, each, capacity - room))
+            put(room - each * length, first, filled)
+            if rest:
+                put(room - rest * length, first + filled, 1)
+            put(room, first + filled + (rest > 0), n - filled - (rest > 0))
+            rank, left = rank + filled * each + rest, left - filled * each - rest
+    return plan
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Pieces with their partition and their number, in it, among those of their length."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, seen = TaskContext.get().partitionId(), Counter()
+        for pdf in batches:
+            lengths = pdf["length"]
+            counts = lengths.value_counts()
+            yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), part=part, k=lengths.groupby(lengths).cumcount() + lengths.map(seen.__getitem__))
+            seen.update(dict(zip(counts.index.tolist(), counts.tolist())))
 
-def pack(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
-    """Sequences of pieces: the piece columns with sequence_id and offset.
+    whole_ids = rows.select(*[c.split()[0] for c in PIECE.split(", ")])
+    return whole_ids.mapInPandas(number, PIECE + ", part int, k long")
 
-    A bin carries the number of its first piece, so sequence ids are distinct without a count.
-    """
-    numbered = materialise(rows.select(F.struct(*[c.split()[0] for c in PIECE.split(", ")]).alias("item"), F.monotonically_increasing_id().alias("bin")))
-    full = F.col("item.length") == capacity
-    single = [F.col("item.length").cast("int").alias("fill"), "bin", F.array("item").alias("items")]
-    finished = [numbered.where(full).select(*single)]
-    open_bins, groups = numbered.where(~full).select(*single), numbered.rdd.getNumPartitions()
-    while True:
-        last = groups <= 1
-        packed = materialise(open_bins.mapInPandas(_round(capacity, pass_on, last), BIN))
-        finished.append(packed.where("done").drop("done"))
-        if last:
-            break
-        groups = -(-groups // fan_in)
-        open_bins = packed.where("not done").drop("done").repartition(groups, F.xxhash64("bin"))
-    bins = finished[0]
-    for more in finished[1:]:
-        bins = bins.unionByName(more)
-    # the k-th item stands after the lengths of those before it
-    placed = bins.select("bin", F.posexplode("items").alias("_k", "_item"), F.transform("items", lambda x: x["length"]).alias("_lengths"))
-    offset = F.aggregate(F.slice("_lengths", F.lit(1), F.col("_k")), F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.select("_item.*", F.col("bin").alias("sequence_id"), offset.alias("offset"))
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
+    """Sequences of pieces: the piece columns with sequence_id and offset. ``fan_in`` and ``pass_on`` have no effect any more."""
+    numbered = materialise(_numbered(rows))
+    sizes = materialise(numbered.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
+    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
+    plan = best_fit_plan(counts, capacity)
+    columns = [np.array(c, dtype=np.int64) for c in zip(*plan)] or [np.zeros(0, np.int64)] * 5
+    lengths, ranks = columns[0], columns[1]
+    order = np.lexsort((ranks, lengths))
+    shared = rows.sparkSession.sparkContext.broadcast([c[order] for c in columns])
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        lengths, ranks, sequences, each, starts = shared.value
+        size, number = length.to_numpy().astype(np.int64), rank.to_numpy().astype(np.int64)
+        first, end = np.searchsorted(lengths, size), np.searchsorted(lengths, size, "right")
+        at = first.copy()
+        while len(more := np.flatnonzero(end - at > 1)):  # the last row of the length that starts no later
+            middle = (at[more] + end[more]) // 2
+            right = ranks[middle] <= number[more]
+            at[more[right]], end[more[~right]] = middle[right], middle[~right]
+        beyond = number - ranks[at]
+        return pd.DataFrame({"sequence_id": sequences[at] + beyond // each[at], "offset": starts[at] + beyond % each[at] * size})
+
+    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
+    offsets = sizes.select(F.col("length").alias("_length"), F.col("part").alias("_part"), before.alias("_before"))
+    ranked = numbered.join(offsets, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")), "inner")
+    names = [c.split()[0] for c in PIECE.split(", ")]
+    return ranked.select(*names, place("length", F.col("_before") + F.col("k")).alias("_place")).select(*names, "_place.sequence_id", "_place.offset")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

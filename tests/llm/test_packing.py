@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -99,6 +99,33 @@ def test_bins_that_cannot_merge_are_bounded_not_lost(spark):
     assert check(packed, [(i, 0, 0, 60, 0) for i in range(500)], 100) == 500
 
 
+def test_plan_is_best_fit():
+    rng = random.Random(6)
+    for case in range(40):
+        lengths = sorted((rng.choice([rng.randint(1, 100), 60, 7]) for _ in range(rng.randint(0, 300))), reverse=True)
+        seen, places = defaultdict(int), defaultdict(list)
+        plan = pk.best_fit_plan(Counter(lengths), 100)
+        for n in lengths:
+            rank, seen[n] = seen[n], seen[n] + 1
+            _, start, sequence, each, at = max(row for row in plan if row[0] == n and row[1] <= rank)
+            places[sequence + (rank - start) // each].append((at + (rank - start) % each * n, n))
+        assert sorted(places) == list(range(len(places)))
+        for sequence in places.values():
+            end = 0
+            for offset, n in sorted(sequence):
+                assert offset == end
+                end += n
+        assert sorted(sum(n for _, n in s) for s in places.values()) == sorted(b[0] for b in brute_best_fit(lengths, 100)), case
+
+
+def test_short_pieces_fill_sequences_of_other_partitions(spark):
+    """Long pieces in some partitions, short ones in others: as few sequences as best fit over all of them gives."""
+    want = [(i, 0, 0, 60 if i < 200 else 20, 0) for i in range(600)]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(want, 6), schema)
+    assert check(pk.pack(rows, 100).collect(), want, 100) == 200
+
+
 def test_tables(spark, no_documents, data, tokenizer):
     assert pk.pack(pk.pieces(no_documents)).count() == 0
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
