@@ -9,7 +9,7 @@ text among them) form head classes of ``SLOTS`` words by rank, all others fall i
 Contexts are hashed features: previous word, word before it (skip), and the two together; class scores and
 head-word scores are sums over feature rows. A tail word's share in its class is (c + 1) / (N_class + V_class + 1), so
 unseen words have mass. Training starts at the unigram model and runs ``ROUNDS`` synchronous rounds: every partition
-takes AdaGrad steps from the shared weights on its training texts (all of them, one position in ``STRIDE``), and the weight changes,
+takes AdaGrad steps from the shared weights on every position of all its training texts, and the weight changes,
 averaged by feature count in a two-level shuffle, make the next weights. Scoring runs over every token of every text in numpy batches.
 
 Defined cases: null texts are empty and are one token, the end; a null doc_id counts as training; repeated rows count
@@ -42,8 +42,6 @@ CLASSES = HEAD // SLOTS + TAILS
 #: Rows of hashed features for classes, and for head words within a class.
 ROWS, WORD_ROWS = 1 << 15, 1 << 14
 ROUNDS = 2
-#: One position in so many of every training text makes a gradient.
-STRIDE = 4
 BATCH = 1 << 14
 #: Tokens scored together, so that their scores stay in the processor's cache.
 STEP = 1 << 12
@@ -297,19 +295,17 @@ def local_steps(texts: Iterator[str | None], vocab: Vocabulary, weights: Weights
     seen, word_seen = np.zeros(ROWS, np.float32), np.zeros(WORD_ROWS, np.float32)
     past, word_past = np.zeros_like(w.rows), np.zeros_like(w.word_rows)
 
-    def learn(held: list[list[bytes]], phase: int) -> None:
+    def learn(held: list[list[bytes]]) -> None:
         flat: list[bytes] = []
         for words in held:
             flat += words
             flat.append(END)
         one, two = contexts(np.fromiter(map(zlib.crc32, flat), np.uint64, len(flat)), np.fromiter((len(t) + 1 for t in held), np.int64, len(held)))
-        first = phase % STRIDE
-        targets = flat[first::STRIDE]
-        rank = np.fromiter(map(vocab.head.get, targets, repeat(-1)), np.int64, len(targets))
-        tail = np.fromiter(map(tail_of, targets), np.int64, len(targets))
+        rank = np.fromiter(map(vocab.head.get, flat, repeat(-1)), np.int64, len(flat))
+        tail = np.fromiter(map(tail_of, flat), np.int64, len(flat))
         classes, slots = np.where(rank >= 0, rank // SLOTS, HEAD // SLOTS + tail), np.where(rank >= 0, rank % SLOTS, -1)
-        every = features(one[first::STRIDE], two[first::STRIDE])
-        for a in range(0, len(targets), BATCH):
+        every = features(one, two)
+        for a in range(0, len(flat), BATCH):
             f, cls, slot = every[a : a + BATCH], classes[a : a + BATCH], slots[a : a + BATCH]
             _adagrad(w.rows, seen, past, f % ROWS, _errors(_scores(w.rows, f % ROWS, w.bias), cls))
             head = np.flatnonzero(slot >= 0)
@@ -317,15 +313,15 @@ def local_steps(texts: Iterator[str | None], vocab: Vocabulary, weights: Weights
                 g = word_features(f[head], cls[head])
                 _adagrad(w.word_rows, word_seen, word_past, g, _errors(_scores(w.word_rows, g, _rows(w.word_bias, cls[head])), slot[head]))
 
-    held, room, phase = [], 0, 0
+    held, room = [], 0
     for text in texts:
         held.append(words_of(text))
         room += len(held[-1]) + 1
-        if room >= STRIDE * BATCH:
-            learn(held, phase)
-            held, room, phase = [], 0, phase + 1
+        if room >= BATCH:
+            learn(held)
+            held, room = [], 0
     if held:
-        learn(held, phase)
+        learn(held)
     for name, new, old, n in (("rows", w.rows, weights.rows, seen), ("word_rows", w.word_rows, weights.word_rows, word_seen)):
         for part in range(len(n) // PART):
             at = slice(part * PART, (part + 1) * PART)
@@ -339,8 +335,8 @@ def _sum_parts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": [key[0]], "part": [key[1]], "change": [change.tobytes()], "n": [n.tobytes()]})
 
 
-def train_round(dealt: DataFrame, vocab: Vocabulary, weights: Weights, number: int) -> Weights:
-    """One synchronous round over the training texts of every ``ROUNDS``-th block."""
+def train_round(dealt: DataFrame, vocab: Vocabulary, weights: Weights) -> Weights:
+    """One synchronous round over all training texts."""
     spark = dealt.sparkSession
     shared = spark.sparkContext.broadcast((vocab, weights))  # some megabytes, fixed by ROWS and WORD_ROWS
 
@@ -351,7 +347,7 @@ def train_round(dealt: DataFrame, vocab: Vocabulary, weights: Weights, number: i
             out["task"] = TaskContext.get().partitionId() % 32
             yield out
 
-    own = dealt.where(~F.col("held") & (F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(ROUNDS)) == number)).select("text")
+    own = dealt.where(~F.col("held")).select("text")
     changes = own.coalesce(2 * spark.sparkContext.defaultParallelism).mapInPandas(run, "name string, part int, change binary, n binary, task int")
     schema = "name string, part int, change binary, n binary"
     level = changes.groupBy("name", "part", "task").applyInPandas(lambda key, pdf: _sum_parts(key[:2], pdf), schema)
@@ -400,8 +396,8 @@ def score(documents: DataFrame, held_out: Column) -> DataFrame:
     counted = corpus_counts(dealt, scratch_path(spark, "lm-counts"))
     vocab = vocabulary(dealt, counted)
     weights = initial_weights(vocab)
-    for number in range(ROUNDS):
-        weights = train_round(dealt, vocab, weights, number)
+    for _ in range(ROUNDS):
+        weights = train_round(dealt, vocab, weights)
     shared = spark.sparkContext.broadcast((vocab, weights))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 

@@ -199,3 +199,19 @@ def test_features_do_not_cross_texts():
     assert both.one.tolist() == [x for t in apart for x in t.one.tolist()]
     assert both.two.tolist() == [x for t in apart for x in t.two.tolist()]
     assert LONG
+
+
+def test_every_position_of_every_training_text_makes_a_gradient(spark, tmp_path):
+    texts = [" ".join(f"w{i}x{k}" for k in range(4)) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    dealt = maxent.blocks(docs, F.col("doc_id") % 4 == 0, str(tmp_path / "blocks"))
+    vocab = maxent.vocabulary(dealt, maxent.corpus_counts(dealt, str(tmp_path / "counts")))
+    start = maxent.initial_weights(vocab)
+    steps = [r for r in maxent.local_steps(iter(texts), vocab, start) if r[0] == "rows"]
+    assert sum(np.frombuffer(r[3], np.float32).sum() for r in steps) == 3 * 5 * len(texts)
+    learned = maxent.train_round(dealt, vocab, start)
+    for i, text in enumerate(texts):
+        words = maxent.words_of(text)
+        at = maxent.Tokens([words], maxent.Lexicon(words, vocab)).features(slice(1, None)) % maxent.ROWS
+        changed = (learned.rows[at] != start.rows[at]).any(axis=2)
+        assert changed.all() if i % 4 else not changed.all()
