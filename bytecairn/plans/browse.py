@@ -157,13 +157,18 @@ def wanted_probe(spark, d):
     return m.objects(spark, d).join(F.broadcast(wanted), ["bucket_id", "state"]).groupBy("bucket_id", "state").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
 
 
-def positions_join(spark, d):
-    """Ordered parts of a request met with stored parts by position."""
-    asked = m.extents(spark, d).where("stream_id % 10 = 0").groupBy("stream_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
+def positions_join_whole(spark, d):
+    """Ordered parts of every request met with stored parts by position."""
+    asked = m.extents(spark, d).groupBy("stream_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
     placed = asked.select("stream_id", F.posexplode("chunks").alias("position", "chunk_id"))
     return placed.join(m.chunks(spark, d).select("chunk_id", "raw_size"), "chunk_id").where("position < raw_size / 100").select("stream_id", "position", "chunk_id")
 
 
+def positions_join(spark, d):
+    """The parts of every tenth request, as its SQL takes them."""
+    return positions_join_whole(spark, d).where("stream_id % 10 = 0")
+
+
 _KEY = "regexp_replace(url, '[?#].*$', '') || ['', '.PNG', '.mp4', '.ogg', '.zip', '.pdf', '.bin'][page_id % 7 + 1]"
 _MIME = "CASE WHEN page_id % 5 = 0 THEN 'text/html' WHEN page_id % 11 = 0 THEN 'video/mp4' ELSE 'application/octet-stream' END"
 _PATHS = "paths AS (SELECT DISTINCT rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS path FROM pages)"
@@ -229,6 +234,7 @@ QUERIES = {
         wanted_probe,
         sql(", wanted AS (SELECT unnest(range(1, 40)) AS bucket_id) SELECT bucket_id, state, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM objects JOIN wanted USING (bucket_id) WHERE state IN ('F', 'O') GROUP BY bucket_id, state", "objects"),
     ),
+    "positions_join_whole": (positions_join_whole, None),
     "positions_join": (
         positions_join,
         sql(", p AS (SELECT stream_id, chunk_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT stream_id, chunk_id FROM extents WHERE stream_id % 10 = 0)) SELECT stream_id, position, chunk_id FROM p JOIN chunks USING (chunk_id) WHERE position < raw_size / 100.0", "extents", "chunks"),

@@ -45,12 +45,18 @@ def merkle_roots(spark, d):
     return hashed.groupBy("page_id").agg(ordered.alias("hashes")).select("page_id", F.size("hashes").cast("long").alias("leaves"), ct.merkle_root(F.col("hashes")).alias("root"))
 
 
-def range_digests(spark, d):
-    spans = m.extents(spark, d).where("stream_id % 20 = 0").groupBy("stream_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "chunk_id"))).alias("s"))
+def range_digests_whole(spark, d):
+    """Chained digests of the extents of every stream."""
+    spans = m.extents(spark, d).groupBy("stream_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "chunk_id"))).alias("s"))
     parts = F.transform("s", lambda x: F.concat_ws(":", x["lo"].cast("string"), x["hi"].cast("string"), x["chunk_id"].cast("string")))
     return spans.select("stream_id", fx.range_digest(parts).alias("digest"))
 
 
+def range_digests(spark, d):
+    """The digests of every twentieth stream, as its SQL takes them."""
+    return range_digests_whole(spark, d).where("stream_id % 20 = 0")
+
+
 def checksums(spark, d):
     b = F.col("text").cast("binary")
     return table(spark, d, "documents").select("doc_id", F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
@@ -137,6 +143,7 @@ QUERIES = {
         "t AS (SELECT page_id, len(l) AS leaves, l FROM h UNION ALL SELECT page_id, leaves, list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN sha256(l[2 * i + 1] || l[2 * i + 2]) ELSE l[2 * i + 1] END) FROM t WHERE len(l) > 1) "
         "SELECT page_id, leaves, l[1] AS root FROM t WHERE len(l) = 1",
     ),
+    "range_digests_whole": (range_digests_whole, None),
     "range_digests": (
         range_digests,
         sql(", s AS (SELECT stream_id, list(lo || ':' || hi || ':' || chunk_id ORDER BY lo, hi, chunk_id) AS parts FROM (SELECT DISTINCT stream_id, lo, hi, chunk_id FROM extents WHERE stream_id % 20 = 0) GROUP BY stream_id) SELECT stream_id, list_reduce(list_prepend('', parts), lambda a, x: sha256(a || x)) AS digest FROM s", "extents"),

@@ -28,8 +28,14 @@ LAST = ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY buck
 OLD = CUT_SQL + ", old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY seq DESC) AS rn FROM changes WHERE seq <= (SELECT cut FROM cut)) WHERE rn = 1)"
 
 
+def versions_latest_flag_whole(spark, d):
+    """Every version of every key, with whether it is the latest."""
+    return h.with_latest_flag(m.changes(spark, d), ["bucket", "key"]).select("bucket", "key", "seq", "op", "latest")
+
+
 def versions_latest_flag(spark, d):
-    return h.with_latest_flag(m.changes(spark, d), ["bucket", "key"]).where("key < 40").select("bucket", "key", "seq", "op", "latest")
+    """The versions of keys below 40, as its SQL takes them."""
+    return versions_latest_flag_whole(spark, d).where("key < 40")
 
 
 def as_of_state(spark, d):
@@ -187,6 +193,7 @@ def two_hop_links(spark, d):
 
 
 QUERIES = {
+    "versions_latest_flag_whole": (versions_latest_flag_whole, None),
     "versions_latest_flag": (versions_latest_flag, sql("SELECT bucket, key, seq, op, seq = max(seq) OVER (PARTITION BY bucket, key) AS latest FROM changes WHERE key < 40", "changes")),
     "as_of_state": (as_of_state, sql(OLD + " SELECT bucket, key, seq, size FROM old WHERE op = 'put'", "changes")),
     "restore_plan": (restore_plan, sql(PLAN + f" SELECT bucket, key, source_seq, current_seq, {STATE} AS state FROM j", "changes")),
