@@ -6,9 +6,9 @@ the rectified maxima into log-probabilities. A text's prediction is the mean ove
 the bytes each window adds. A filter is a sum of per-position byte tables, so two neighbouring positions
 are folded into one table of byte pairs and a window batch is scored by table look-ups.
 
-Training sees at most about ``PER_LANGUAGE`` documents of each language (rows whose hash falls under a
-threshold set from the language's count, so the bound does not grow with the table) and at most
-``WINDOWS_PER_DOCUMENT`` windows of each. Every row is scored on its whole text.
+Training sees every language, at most about ``PER_LANGUAGE`` distinct texts of each (those whose hash falls under a
+threshold set from the language's count of distinct texts, so the bound does not grow with the table) and at most
+``WINDOWS_PER_DOCUMENT`` windows of each, which are cut in the tasks. Every row is scored on its whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; rows with a null language
 are not learned from; with no labelled row everything is ``und``; a text shorter than a window is repeated
@@ -18,6 +18,7 @@ to fill it; repeated rows are repeated. ``identify`` keeps all columns and adds
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +34,6 @@ WIDTHS = (2, 3, 4)
 FILTERS = 8
 PER_LANGUAGE = 300
 WINDOWS_PER_DOCUMENT = 8
-#: Languages learned at most, the most frequent first.
-LANGUAGES = 200
 STEPS = 400
 BATCH = 96
 #: Windows scored together.
@@ -81,17 +80,11 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], languages: list[str], seed: int = 7) -> Model:
+def train(windows: list[np.ndarray], languages: list[str], seed: int = 7) -> Model:
     """Adam on cross-entropy; gradients reach only the bytes at each maximum."""
     names = sorted(set(languages))
     rng = np.random.default_rng(seed)
-    xs, ys = [], []
-    for text, lang in zip(texts, languages):
-        w, _ = windows_of(text.lower().encode("utf-8"))
-        pick = rng.permutation(len(w))[:WINDOWS_PER_DOCUMENT]
-        xs.append(w[pick])
-        ys += [names.index(lang)] * len(pick)
-    x, y = np.vstack(xs), np.array(ys)
+    x, y = np.vstack(windows), np.repeat([names.index(lang) for lang in languages], [len(w) for w in windows])
     by_class = [np.flatnonzero(y == c) for c in range(len(names))]
     n_features = len(WIDTHS) * FILTERS
     params = [rng.normal(0, 0.3, (k, 256, FILTERS)).astype(np.float32) for k in WIDTHS]
@@ -182,18 +175,33 @@ class Scorer:
 
 
 def training_sample(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """About ``per_language`` rows of each language at most: (text, lang); ``learn`` is a condition on doc_id."""
+    """About ``per_language`` distinct texts of each language at most: (text, lang); ``learn`` is a condition on doc_id."""
     rows = documents.select("doc_id", "text", "lang").where(learn & F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    counts = rows.select("lang", F.xxhash64("text").alias("_h")).distinct().groupBy("lang").count()
     share = F.broadcast(counts.select(F.col("lang").alias("_lang"), F.least(F.lit(1.0), F.lit(per_language) / F.col("count")).alias("_share")))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(share, F.col("lang") == F.col("_lang")).where(place < F.col("_share")).select("text", "lang").dropDuplicates(["text", "lang"])
 
 
+def training_windows(sample: DataFrame) -> DataFrame:
+    """The windows learned from each text, cut in the tasks: (lang, windows)."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for text in pdf["text"]:
+                data = text.lower().encode("utf-8")
+                w, _ = windows_of(data)
+                out.append(w[np.random.default_rng(zlib.crc32(data)).permutation(len(w))[:WINDOWS_PER_DOCUMENT]].tobytes())
+            yield pd.DataFrame({"lang": pdf["lang"], "windows": out})
+
+    return small_batches(sample).select("lang", "text").mapInPandas(cut, "lang string, windows binary")
+
+
 def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
-    sample = training_sample(documents, learn, per_language).collect()
-    rows = sorted((r["lang"], r["text"]) for r in sample)
-    return train([t for _, t in rows], [lang for lang, _ in rows]) if rows else None
+    sample = training_windows(training_sample(documents, learn, per_language)).collect()
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in sample)
+    return train([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in rows], [lang for lang, _ in rows]) if rows else None
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
@@ -201,7 +209,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     rows = packed(small_batches(documents))
     if model is None:
         return unpacked(rows, documents.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0))
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # at most LANGUAGES columns wide
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # a column a language
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -45,6 +45,16 @@ def test_language_edges(spark, edge, no_documents):
     assert {r["lang_pred"] for r in langid.identify(edge, None).collect()} == {"und"}
 
 
+def test_every_language_is_learned_from_distinct_texts(spark):
+    rows = [(i, f"words of language {i} and more", f"l{i:03}") for i in range(230)]
+    rows += [(1000 + i, "the same text again and again", "copies") for i in range(900)] + [(2000 + i, f"own text {i}", "copies") for i in range(5)]
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), 10)
+    assert {r["lang"] for r in sample.collect()} == {r[2] for r in rows}
+    assert sample.where("lang = 'copies'").count() == 6
+    windows = langid.training_windows(spark.createDataFrame([("x", "abc " * 100_000)], "lang string, text string")).first()["windows"]
+    assert len(windows) == langid.WINDOWS_PER_DOCUMENT * langid.WINDOW
+
+
 def test_window_scores_match_direct_convolution():
     rng = np.random.default_rng(1)
     model = langid.Model(["a", "b"], [rng.normal(size=(k, 256, langid.FILTERS)).astype(np.float32) for k in langid.WIDTHS], rng.normal(size=24).astype(np.float32), rng.normal(size=(24, 2)).astype(np.float32), rng.normal(size=2).astype(np.float32))
