@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, with DataFrame functions only.
 
-Two lines are duplicates when their edit distance (code points) is at most one. A line occurrence is kept
+Two lines are duplicates when their edit distance (code points) is at most ``EDITS`` (one; ``dedup_lines`` also takes none and two). A line occurrence is kept
 if no earlier occurrence, in order of (doc_id, text hash, line number), is a duplicate of it; every other
-occurrence is dropped. Blank lines are always kept. Lines of fewer than ``MIN_CHARS`` characters are kept too, unless
-``short_exact`` asks that exact repeats of them go as well; the edit bound is for the longer lines alone.
+occurrence is dropped. Lines of fewer than ``MIN_CHARS`` characters go only as exact repeats, since one edit turns one short
+word into another; with ``min_chars=1`` the edit bound holds for every line. Blank lines are always kept.
 
 How the join stays small without losing a link. An edit changes one place, so of two duplicate lines cut
 into segments at the same places, all but one segment agree. Lines whose prefix half or suffix half no
@@ -32,7 +32,8 @@ from .common import materialise, packed, table, unpacked
 
 MIN_CHARS = 20
 SEGMENTS = 16
-#: Lines that may have a near duplicate are looked up by broadcast up to this many, by shuffle beyond it.
+EDITS = 1
+#: Lines that may have a near duplicate are looked up by broadcast up to this many (of some 40 bytes each), by shuffle beyond it.
 BROADCAST_ROWS = 1_000_000
 #: An exclusive-or that makes a join key of its own, so that both sides are dealt anew and Spark can split a hot one.
 DEAL = 0x5DEECE66D
@@ -63,14 +64,16 @@ def _half_keys(line: Column) -> Column:
     return F.array(*keys)
 
 
-def _distinct_lines(documents: DataFrame, min_chars: int, short_exact: bool) -> DataFrame:
-    """Each distinct eligible line: its first place (doc_id, h, no) and its half keys (none for a short line); no texts."""
+def _lines(documents: DataFrame) -> DataFrame:
+    """All lines but blank ones: place (doc_id, h, no), line."""
     numbered = documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    long, halves = F.length("line") >= min_chars, _half_keys(F.col("line"))
-    eligible = numbered.where((F.lit(True) if short_exact else long) & (F.trim("line") != ""))
-    if short_exact:
-        halves = F.when(long, halves).otherwise(F.array().cast("array<bigint>"))
-    keyed = eligible.select(_key(F.col("line")).alias("id"), F.struct("doc_id", "h", "no").alias("place"), halves.alias("halves"))
+    return numbered.where(F.trim("line") != "").select(F.struct("doc_id", "h", "no").alias("place"), "line")
+
+
+def _distinct_lines(documents: DataFrame, min_chars: int) -> DataFrame:
+    """Each distinct line: its first place and its half keys (none for a short line); no texts."""
+    halves = F.when(F.length("line") >= min_chars, _half_keys(F.col("line"))).otherwise(F.array().cast("array<bigint>"))
+    keyed = _lines(documents).select(_key(F.col("line")).alias("id"), "place", halves.alias("halves"))
     return keyed.groupBy("id").agg(F.min("place").alias("place"), F.first("halves").alias("halves"))
 
 
@@ -105,30 +108,70 @@ def _segments(suspects: DataFrame) -> DataFrame:
     return cut.select("place", "longer", outside.alias("outside"), F.substring(F.col("line"), F.col("lo") + 1, F.col("n") - F.col("lo") - F.col("hi")).alias("w")).withColumn("oa", F.col("outside.a"))
 
 
-def near_duplicates(documents: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Distinct lines, by place, with an earlier line within one edit."""
-    segments = materialise(_with_partner(_segments(_suspects(documents, distinct)), "oa", F.xxhash64("place")))
-    cut = segments.where(F.length("w") > 0).withColumn("p", F.explode(F.sequence(F.lit(1), F.length("w"))))
-    variant = F.concat(F.substring(F.col("w"), F.lit(1), F.col("p") - 1), F.substring(F.col("w"), F.col("p") + 1, F.length("w")))
-    base = [F.col("outside.a").cast("string"), F.col("outside.b").cast("string")]
-    row = lambda df, role, *parts: df.select("place", "w", _key(*base, *parts).alias("key"), F.lit(role).alias("role"))
-    same = row(cut.where(F.col("longer") == 0), 0, F.lit("="), F.col("p").cast("string"), variant)
-    long = row(cut.where(F.col("longer") == 1), 1, F.lit("+"), variant)
-    short = row(segments.where(F.col("longer") == 0), 2, F.lit("+"), F.col("w"))
-    keys = same.unionByName(long).unionByName(short)
+def _row(df: DataFrame, role: int, *parts: Column) -> DataFrame:
+    """Role 0: all rows of a key are duplicates of each other; roles 1 and 2: each of one is a duplicate of each of the other."""
+    return df.select("place", "w", _key(*parts).alias("key"), F.lit(role).alias("role"))
+
+
+def _earlier(keys: DataFrame, edits: int) -> DataFrame:
+    """Places whose key some earlier line of the fitting role has, the edit distance being verified."""
     group = Window.partitionBy("key")
     best = lambda role: F.min(F.when(F.col("role") == role, F.struct("place", "w"))).over(group)
     met = keys.select("place", "w", "role", best(0).alias("b0"), best(1).alias("b1"), best(2).alias("b2"))
     other = F.when(F.col("role") == 0, F.col("b0")).when(F.col("role") == 1, F.col("b2")).otherwise(F.col("b1"))
     near = met.withColumn("other", other).where(F.col("other.place") < F.col("place"))
-    return near.where(F.levenshtein(F.col("w"), F.col("other.w")) <= 1).select("place").distinct()
+    return near.where(F.levenshtein(F.col("w"), F.col("other.w")) <= edits).select("place").distinct()
+
 
+def _without(text: Column, at: Column) -> Column:
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(text)))
 
-def kept_places(documents: DataFrame, min_chars: int = MIN_CHARS, short_exact: bool = False) -> DataFrame:
-    """The place of every eligible line occurrence that stays."""
-    distinct = materialise(_distinct_lines(documents, min_chars, short_exact))
-    near = near_duplicates(documents, distinct)
-    return distinct.select("place").join(near, "place", "left_anti").select("place.doc_id", F.col("place.h").alias("_text_hash"), F.col("place.no").alias("_no"))
+
+def near_duplicates(documents: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Distinct lines, by place, with an earlier line within one edit."""
+    segments = materialise(_with_partner(_segments(_suspects(documents, distinct)), "oa", F.xxhash64("place")))
+    cut = segments.where(F.length("w") > 0).withColumn("p", F.explode(F.sequence(F.lit(1), F.length("w"))))
+    variant = _without(F.col("w"), F.col("p"))
+    base = [F.col("outside.a").cast("string"), F.col("outside.b").cast("string")]
+    same = _row(cut.where(F.col("longer") == 0), 0, *base, F.lit("="), F.col("p").cast("string"), variant)
+    long = _row(cut.where(F.col("longer") == 1), 1, *base, F.lit("+"), variant)
+    short = _row(segments.where(F.col("longer") == 0), 2, *base, F.lit("+"), F.col("w"))
+    return _earlier(same.unionByName(long).unionByName(short), 1)
+
+
+def near_duplicates_of_two(documents: DataFrame, min_chars: int) -> DataFrame:
+    """Distinct lines, by place, with an earlier line within two edits, from the variants of one and two deletions of whole lines.
+
+    A line gives rows by the square of its length, so this is for tables of short lines. Of two edits, two substitutions leave equal
+    rests at equal places; an insertion and a deletion leave equal rests; a substitution and a deletion leave equal rests
+    with the substituted place at the same index of the rest; two deletions leave the shorter line.
+    """
+    lines = _lines(documents).where(F.length("line") >= min_chars)
+    firsts = lines.groupBy(_key(F.col("line")).alias("id")).agg(F.min(F.struct("place", "line")).alias("first")).select("first.place", F.col("first.line").alias("w"))
+    one = firsts.where(F.length("w") > 0).withColumn("p", F.explode(F.sequence(F.lit(1), F.length("w")))).withColumn("v", _without(F.col("w"), F.col("p")))
+    two = one.where(F.col("p") <= F.length("v")).withColumn("q", F.explode(F.sequence(F.col("p"), F.length("v")))).withColumn("v2", _without(F.col("v"), F.col("q")))
+    text = lambda c: F.col(c).cast("string")
+    rows = [
+        _row(one, 0, F.lit("1="), F.col("v")), _row(two, 0, F.lit("2="), text("p"), text("q"), F.col("v2")),
+        _row(one, 1, F.lit("1+"), F.col("v")), _row(firsts, 2, F.lit("1+"), F.col("w")),
+        _row(two, 1, F.lit("2+"), F.col("v2")), _row(firsts, 2, F.lit("2+"), F.col("w")),
+        # q counts in the rest of the first deletion already, so both places are indices of the common rest
+        _row(two, 1, F.lit("1s"), text("p"), F.col("v2")), _row(two, 1, F.lit("1s"), text("q"), F.col("v2")), _row(one, 2, F.lit("1s"), text("p"), F.col("v")),
+    ]
+    keys = rows[0]
+    for more in rows[1:]:
+        keys = keys.unionByName(more)
+    return _earlier(keys, 2)
+
+
+def kept_places(documents: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+    """The place of every line occurrence that stays."""
+    distinct = materialise(_distinct_lines(documents, min_chars))
+    kept = distinct.select("place")
+    if edits:
+        near = near_duplicates(documents, distinct) if edits == 1 else near_duplicates_of_two(documents, min_chars)
+        kept = kept.join(near, "place", "left_anti")
+    return kept.select("place.doc_id", F.col("place.h").alias("_text_hash"), F.col("place.no").alias("_no"))
 
 
 def _marks(kept: Column, n_lines: Column) -> Column:
@@ -138,16 +181,17 @@ def _marks(kept: Column, n_lines: Column) -> Column:
     return F.split(F.rpad(marks, n_lines, F.lit("0")), "")
 
 
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, short_exact: bool = False) -> DataFrame:
-    """``documents`` with duplicate lines removed from ``text``, plus n_lines and n_dropped."""
-    kept = kept_places(documents.select("doc_id", "text"), min_chars, short_exact).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, edits: int = EDITS) -> DataFrame:
+    """``documents`` with duplicate lines (up to ``edits``, 0 to 2) removed from ``text``, plus n_lines and n_dropped."""
+    if edits not in (0, 1, 2):
+        raise ValueError("the edit bound is 0, 1 or 2")
+    kept = kept_places(documents.select("doc_id", "text"), min_chars, edits).groupBy(F.col("doc_id").alias("_doc"), F.col("_text_hash").alias("_hash")).agg(F.sort_array(F.collect_set("_no")).alias("_kept"))
     keyed = packed(documents, F.col("doc_id").alias("_key"), F.xxhash64("text").alias("_text_key"))
     joined = keyed.join(kept, F.col("_key").eqNullSafe(F.col("_doc")) & F.col("_text_key").eqNullSafe(F.col("_hash")), "left")
     lines = F.split(F.col("row.text"), "\n")
     marks = _marks(F.coalesce("_kept", F.array().cast("array<int>")), F.size(lines))
     # lines and marks are walked side by side; a mask looked up inside the function would be made anew for every line
-    exempt = lambda x: F.trim(x) == "" if short_exact else (F.length(x) < min_chars) | (F.trim(x) == "")
-    stays = lambda x, mark: F.when(exempt(x) | (mark == "1"), x)
+    stays = lambda x, mark: F.when((F.trim(x) == "") | (mark == "1"), x)
     left = F.filter(F.zip_with(lines, marks, stays), lambda x: x.isNotNull())
     # the generator is a fence: what follows reads the result and does not repeat the work
     fenced = joined.select("row", F.inline(F.array(F.struct(left.alias("_left"), F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("_n")))))
@@ -166,14 +210,14 @@ WITH l AS (
   SELECT doc_id, CAST(pos AS INTEGER) AS no, lines[pos] AS line
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos
         FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
-), e AS (SELECT * FROM l WHERE length(line) >= 20 AND trim(line) <> ''),
+), e AS (SELECT * FROM l WHERE trim(line) <> ''),
 o AS (SELECT doc_id, no, line, row_number() OVER (ORDER BY doc_id, no) AS ord FROM e),
 f AS (SELECT line, min(ord) AS ord, length(line) AS n FROM o GROUP BY line),
 -- two lines within one edit share the first or the last half of the shorter one
 k AS (
-  SELECT line, ord, n, m, 'p' AS side, left(line, m // 2) AS part FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)
+  SELECT line, ord, n, m, 'p' AS side, left(line, m // 2) AS part FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20)
   UNION ALL
-  SELECT line, ord, n, m, 's' AS side, right(line, m - (m + 1) // 2) AS part FROM (SELECT *, unnest([n, n - 1]) AS m FROM f)
+  SELECT line, ord, n, m, 's' AS side, right(line, m - (m + 1) // 2) AS part FROM (SELECT *, unnest([n, n - 1]) AS m FROM f WHERE n >= 20)
 ),
 c AS (
   SELECT DISTINCT a.ord AS early, a.line AS a, a.n AS na, b.ord AS late, b.line AS b, b.n AS nb
@@ -189,7 +233,7 @@ kept AS (
   SELECT doc_id, no FROM o JOIN f ON o.line = f.line AND o.ord = f.ord WHERE f.ord NOT IN (SELECT late FROM near)
 ),
 r AS (
-  SELECT l.doc_id, l.no, l.line, (length(l.line) < 20 OR trim(l.line) = '' OR kept.no IS NOT NULL) AS stays
+  SELECT l.doc_id, l.no, l.line, (trim(l.line) = '' OR kept.no IS NOT NULL) AS stays
   FROM l LEFT JOIN kept ON l.doc_id = kept.doc_id AND l.no = kept.no
 )
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY no) FILTER (WHERE stays), '') AS text,

@@ -11,7 +11,7 @@ import xxhash
 from bytecairn.llm import linededup as ld
 from bytecairn.llm import simhash as sh
 
-from .conftest import CLASHES, edge_rows
+from .conftest import edge_rows
 
 
 def within_one(a, b):
@@ -21,17 +21,27 @@ def within_one(a, b):
     return a[p + (len(a) >= len(b)) :] == b[p + (len(b) >= len(a)) :]
 
 
-def brute_lines(rows, least):
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def brute_lines(rows, least, edits=1):
     """{(doc_id, text): text left}, by comparing every line with every earlier one."""
     seen, out = [], {}
+    near = {0: lambda a, b: a == b, 1: within_one, 2: lambda a, b: abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2}[edits]
     order = sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=lambda r: (r[0] is not None, r[0] or 0))
     for doc, text in order:
         left = []
         for line in text.split("\n"):
-            if len(line) < least or not line.strip(" "):
+            if not line.strip(" "):
                 left.append(line)
                 continue
-            if not any(within_one(line, s) for s in seen):
+            if not any(line == s or (min(len(line), len(s)) >= least and near(line, s)) for s in seen):
                 left.append(line)
             seen.append(line)
         out[doc, text] = "\n".join(left)
@@ -84,14 +94,34 @@ def test_lines_edges(spark, edge, no_documents):
     assert ld.dedup_lines(no_documents).count() == 0
 
 
-def test_exact_repeats_of_short_lines_go_on_request(spark):
+def test_exact_repeats_of_short_lines_go(spark):
     """Short lines: exact repeats go, near ones stay; a later copy of a document keeps nothing."""
     whole = "a line that is long enough to be compared\nShort.\n\nNo. 1"
     rows = [(1, whole), (2, whole + "\nNo. 2"), (3, "Short.\nshort.\nShort.\nan exact nineteenth\nan exact nineteenthx"), (4, whole)]
-    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), short_exact=True).collect()}
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (whole, 0), 2: ("\nNo. 2", 3), 3: ("short.\nan exact nineteenth\nan exact nineteenthx", 2), 4: ("", 3)}
 
 
+@pytest.mark.parametrize("edits,least", [(0, 1), (1, 1), (2, 1), (2, 20)])
+def test_other_bounds_match_brute_force(spark, edits, least):
+    rng = random.Random(edits * 7 + least)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randint(1, 26))) for _ in range(12)]
+    rows = []
+    for doc in range(40):
+        own = []
+        for _ in range(rng.randint(1, 4)):
+            line = rng.choice(base)
+            for _ in range(rng.choice([0, 1, 2, 3])):
+                line = mutated(rng, line)
+            own.append(line)
+        rows.append((doc, "\n".join(own)))
+    want = brute_lines(rows, least, edits)
+    got = ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least, edits).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == {d: t for (d, _), t in want.items()}
+    with pytest.raises(ValueError, match="bound"):
+        ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), least, 3)
+
+
 def test_lines_match_sql(spark, data):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
@@ -200,7 +230,3 @@ def test_simhash_edges(spark, edge, no_documents):
     assert kept.columns == edge.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for *_, c in want if c is not None})
     assert sh.near_duplicates(no_documents).count() == 0 and sh.keep_one_per_component(no_documents).count() == 0
-
-
-def test_clash_names_are_there():
-    assert len(CLASHES) > 10
