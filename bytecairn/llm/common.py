@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: Ways in which a possibly hot key is split before anything is gathered by it.
 SALTS = 64
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only where nothing names a folder and driver and executors are one machine, as in tests.
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints/bytecairn"
 
 
@@ -24,12 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; set here only where the session has none."""
+    """The folder that driver and executors share: the session's setting, else the context's; a local one in local mode only."""
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and chosen.isDefined():
+        base = chosen.get().rpartition("/")[0]  # the context appends a folder of its own
     if base is None:
+        if not context.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = LOCAL_CHECKPOINTS
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
+    if not chosen.isDefined():
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -44,10 +51,31 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/bytecairn-{what}-{uuid.uuid4().hex}"
 
 
-def small_batches(df: DataFrame, megabytes: int = 8) -> DataFrame:
-    """``df``, with the Arrow batches of its session bounded in bytes, for the sake of very long texts in Python workers."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
-    return df
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+
+
+#: Bytes of an Arrow batch that goes to a Python worker, for the sake of very long texts.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, actions send batches of bounded size to Python workers; the session's setting comes back after it."""
+    before = spark.conf.get(_BATCH_SETTING, None)
+    spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_BATCH_SETTING)
+        else:
+            spark.conf.set(_BATCH_SETTING, before)
 
 
 def lower_ascii(col: Column) -> Column:

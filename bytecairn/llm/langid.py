@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, packed, small_batches, table, unpacked
+from .common import bounded_batches, fold_of, materialise, packed, table, unpacked
 
 WINDOW = 384
 WIDTHS = (2, 3, 4)
@@ -195,18 +195,19 @@ def training_windows(sample: DataFrame) -> DataFrame:
                 out.append(w[np.random.default_rng(zlib.crc32(data)).permutation(len(w))[:WINDOWS_PER_DOCUMENT]].tobytes())
             yield pd.DataFrame({"lang": pdf["lang"], "windows": out})
 
-    return small_batches(sample).select("lang", "text").mapInPandas(cut, "lang string, windows binary")
+    return sample.select("lang", "text").mapInPandas(cut, "lang string, windows binary")
 
 
 def fit(documents: DataFrame, learn: Column, per_language: int = PER_LANGUAGE) -> Model | None:
-    sample = training_windows(training_sample(documents, learn, per_language)).collect()
+    with bounded_batches(documents.sparkSession):
+        sample = training_windows(training_sample(documents, learn, per_language)).collect()
     rows = sorted((r["lang"], bytes(r["windows"])) for r in sample)
     return train([np.frombuffer(w, np.uint8).reshape(-1, WINDOW) for _, w in rows], [lang for lang, _ in rows]) if rows else None
 
 
 def identify(documents: DataFrame, model: Model | None) -> DataFrame:
     """``documents`` with lang_pred and score."""
-    rows = packed(small_batches(documents))
+    rows = packed(documents)
     if model is None:
         return unpacked(rows, documents.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a column a language
@@ -227,5 +228,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every whole text of ``documents``, learned from two thirds of the ids."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold_of(F.col("doc_id"), 3) == 1
-    scored = identify(docs.drop("lang"), fit(docs, ~held_out))
-    return scored.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    scored = identify(docs.drop("lang"), fit(docs, ~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    with bounded_batches(spark):
+        return materialise(scored)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import materialise, slices, small_batches, table
+from .common import bounded_batches, materialise, slices, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -115,7 +115,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
 
-    return small_batches(documents).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -200,7 +200,8 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
     """Sequences of pieces: the piece columns with sequence_id and offset. ``fan_in`` and ``pass_on`` have no effect any more."""
-    numbered = materialise(_numbered(rows))
+    with bounded_batches(rows.sparkSession):
+        numbered = materialise(_numbered(rows))
     sizes = materialise(numbered.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
     counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
     plan = best_fit_plan(counts, capacity)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, packed, small_batches, table, unpacked
+from .common import bounded_batches, fold_of, materialise, packed, table, unpacked
 
 PER_CLASS = 1500
 TRAIN_LINES = 128
@@ -244,9 +244,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
                     rows.append((x[at : at + TRAIN_LINES].tobytes(), size[at : at + TRAIN_LINES].tobytes(), int(label)))
             yield pd.DataFrame(rows, columns=["x", "size", "label"])
 
-    rows = small_batches(documents).select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "inner").where(F.length("text") > 0)
+    rows = documents.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("_id"), "inner").where(F.length("text") > 0)
     rows = rows.select("text", "quality", F.pmod(F.xxhash64("text"), F.lit(1 << 30)).alias("start"))
-    got = sorted((r["label"], bytes(r["x"]), bytes(r["size"])) for r in rows.mapInPandas(features, "x binary, size binary, label int").collect())
+    with bounded_batches(documents.sparkSession):
+        got = sorted((r["label"], bytes(r["x"]), bytes(r["size"])) for r in rows.mapInPandas(features, "x binary, size binary, label int").collect())
     if not got:
         return Crf(np.zeros(N_EMISSION), np.zeros((2, 2)), np.zeros(2), 0.0, 0.0, 0.5)
     samples = [(np.frombuffer(x, np.float32).reshape(-1, N_FEATURES), np.frombuffer(s, np.float64), y) for y, x, s in got]
@@ -260,7 +261,7 @@ def score_quality(documents: DataFrame, crf: Crf) -> DataFrame:
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(quality_of(crf, list(texts)))
 
-    scored = packed(small_batches(documents)).withColumn("_score", score("row.text"))
+    scored = packed(documents).withColumn("_score", score("row.text"))
     return unpacked(scored, documents.columns, score=F.col("_score"), predicted=(F.col("_score") >= 0.5).cast("int"))
 
 
@@ -269,4 +270,5 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = fold_of(F.col("doc_id"), 3) == 1
     crf = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~held_out)
-    return score_quality(docs, crf).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    with bounded_batches(spark):
+        return materialise(score_quality(docs, crf).select("doc_id", held_out.alias("held_out"), "score", "predicted"))

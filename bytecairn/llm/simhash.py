@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import hot_group_aggregate, materialise, packed, small_batches, spread, table, unpacked
+from .common import bounded_batches, hot_group_aggregate, materialise, packed, spread, table, unpacked
 
 SHINGLE = 4
 DISTANCE = 4
@@ -65,7 +65,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([simhash64(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return small_batches(documents).select("doc_id", fp("text").alias("fp"))
+    return documents.select("doc_id", fp("text").alias("fp"))
 
 
 def _masks() -> list[int]:
@@ -223,7 +223,8 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
-    docs = materialise(fingerprints(documents, shingle).withColumn("_salt", spread(F.col("doc_id"))))
+    with bounded_batches(documents.sparkSession):
+        docs = materialise(fingerprints(documents, shingle).withColumn("_salt", spread(F.col("doc_id"))))
     by_salt = docs.groupBy("fp", "_salt").agg(F.min("doc_id").alias("_first"))
     distinct = materialise(by_salt.groupBy("fp").agg(F.min("_first").alias("_first")))
     roots = components(link_pairs(distinct.select("fp")))

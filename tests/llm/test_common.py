@@ -1,5 +1,6 @@
 """Helpers for hot keys, null keys and clashing names."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from bytecairn.llm import common
@@ -31,7 +32,37 @@ def test_fold_matches_crc32(spark):
     assert [(r["k"], r["f"]) for r in df.select("k", common.fold_of(F.col("k"), 7).alias("f")).collect()] == [(i, zlib.crc32(str(i).encode()) % 7) for i in (0, 1, 12345, -7)] + [(None, 0)]
 
 
-def test_shared_dir_reads_the_session(spark):
+def test_shared_dir_is_that_of_the_context(spark):
+    """A local folder only where neither the session nor the context names one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert common.shared_dir(spark) == (named or common.LOCAL_CHECKPOINTS).rstrip("/")
-    assert common.scratch_path(spark, "x").startswith(common.shared_dir(spark))
+    chosen = common.shared_dir(spark)
+    assert named is None or chosen == named.rstrip("/")
+    bare = lambda path: path.removeprefix("file:").replace("//", "/")
+    assert bare(spark.sparkContext._jsc.sc().getCheckpointDir().get()).startswith(bare(chosen))
+    assert common.scratch_path(spark, "x").startswith(chosen)
+
+
+def test_no_local_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))})
+
+    class Session:
+        sparkContext = Context
+        conf = type("C", (), {"get": staticmethod(lambda key, default: default)})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_scratch_is_removed_and_settings_come_back(spark):
+    path = common.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    common.discard(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    with common.bounded_batches(spark):
+        assert spark.conf.get(key) == str(common.BATCH_BYTES)
+    assert spark.conf.get(key) == before
