@@ -10,7 +10,7 @@ store is a Parquet table in the shared folder. A task stores a payload once; cop
 when the decoded values are grouped by digest, so no payload is ever shuffled.
 
 Defined cases: null html has no items, null texts are empty payloads (192 spaces); unclosed tags are read
-as far as they go; script, style and comments are no text; a reference without a digest or with an unknown one stays, unresolved (null columns);
+as far as they go; script, style, title, noscript, template and comments are no text; of nested figures the innermost captions its media; a source set gives its first source; a reference without a digest or with an unknown one stays, unresolved (null columns);
 repeated rows are repeated; an empty table gives none. Other columns are not read.
 """
 
@@ -27,12 +27,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_lookup, scratch_path, small_batches, table
+from .common import bounded_batches, discard, hot_lookup, materialise, scratch_path, table
 
 WIDTH = 192
 SCHEME = "sha256:"
 ITEM = "struct<position:int,kind:string,text:string,src:string,digest:string,caption:string>"
-MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed"}
+MEDIA_TAGS = {"img": "image", "video": "video", "audio": "audio", "source": "source", "embed": "embed", "iframe": "frame", "object": "object"}
+#: Elements whose text is not the page's.
+SILENT_TAGS = ("script", "style", "title", "noscript", "template")
 #: Digests a task remembers, to store a payload once.
 REMEMBERED = 200_000
 BINS = 16
@@ -46,7 +48,7 @@ class _Interleaver(HTMLParser):
         self.items: list[dict] = []
         self.text: list[str] = []
         self.silent = 0
-        self.figure_from: int | None = None
+        self.figures: list[int] = []
         self.caption: list[str] | None = None
 
     def flush(self) -> None:
@@ -56,16 +58,16 @@ class _Interleaver(HTMLParser):
             self.items.append({"kind": "text", "text": said, "src": None, "digest": None, "caption": None})
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in ("script", "style"):
+        if tag in SILENT_TAGS:
             self.silent += 1
         elif tag == "figure":
             self.flush()
-            self.figure_from = len(self.items)
+            self.figures.append(len(self.items))
         elif tag == "figcaption":
             self.caption = []
         elif tag in MEDIA_TAGS:
             at = dict(attrs)
-            src = at.get("src")
+            src = at.get("src") or at.get("data") or ((at.get("srcset") or "").split() or [None])[0]
             digest = at.get("data-digest") or (src.removeprefix(SCHEME) if src and src.startswith(SCHEME) else None)
             self.flush()
             self.items.append({"kind": MEDIA_TAGS[tag], "text": None, "src": src, "digest": digest, "caption": at.get("alt") or at.get("title")})
@@ -73,16 +75,18 @@ class _Interleaver(HTMLParser):
             self.text.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
+        if tag in SILENT_TAGS:
             self.silent = max(0, self.silent - 1)
         elif tag == "figcaption" and self.caption is not None:
             said, self.caption = re.sub(r"\s+", " ", "".join(self.caption)).strip(), None
-            for item in self.items[self.figure_from if self.figure_from is not None else len(self.items) :]:
-                if item["kind"] != "text":
-                    item["caption"] = said
+            self.flush()
+            for item in self.items[self.figures[-1] if self.figures else len(self.items) :]:
+                if item["kind"] != "text" and not item.get("captioned"):
+                    item["caption"], item["captioned"] = said, True
         elif tag == "figure":
             self.flush()
-            self.figure_from = None
+            if self.figures:
+                self.figures.pop()
         elif tag in ("p", "div", "article", "section"):
             self.text.append(" ")
 
@@ -101,7 +105,7 @@ def interleave_html(html: str | None) -> list[dict]:
     if parser.caption:
         parser.text += parser.caption
     parser.flush()
-    return [{"position": i} | item for i, item in enumerate(parser.items)]
+    return [{"position": i} | {k: v for k, v in item.items() if k != "captioned"} for i, item in enumerate(parser.items)]
 
 
 def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -117,16 +121,17 @@ def interleave(pages: DataFrame, html: str = "html") -> DataFrame:
 def resolve(sequences: DataFrame, media: DataFrame, key: str) -> DataFrame:
     """One row per item, its media columns joined by digest; ``media`` has one row a digest.
 
-    ``key`` names a column that tells the rows of ``sequences`` apart.
+    A sequence without items has one row, without position.     ``key`` names a column that tells the rows of ``sequences`` apart.
     """
-    items = sequences.select(key, F.explode("items").alias("item")).select(key, "item.*")
+    items = sequences.select(key, F.explode_outer("items").alias("item")).select(key, "item.*")
     return hot_lookup(items, "digest", media, [key, "position"])
 
 
 def collect(resolved: DataFrame, key: str) -> DataFrame:
-    """Items of each sequence gathered again, by position."""
+    """Items of each sequence gathered again, by position; a sequence without items has none."""
     rest = [c for c in resolved.columns if c not in (key, "position")]
-    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", *rest))).alias("items"))
+    item = F.when(F.col("position").isNotNull(), F.struct("position", *rest))
+    return resolved.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
 
 
 def encode_samples(payload: bytes, n_bytes: int) -> bytes:
@@ -177,9 +182,10 @@ def store_texts(documents: DataFrame, path: str) -> None:
                     seen.add(key)
             yield pd.DataFrame({"row": pdf["row"], "doc_id": pdf["doc_id"], "html": pages, "digest": digests, "media": media})
 
-    rows = small_batches(documents).select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("string"), "text")
     stored = rows.mapInPandas(store, "row long, doc_id string, html string, digest string, media binary")
-    stored.write.option("compression", "zstd").parquet(path)
+    with bounded_batches(documents.sparkSession):
+        stored.write.option("compression", "zstd").parquet(path)
 
 
 def decoded_media(spark: SparkSession, path: str) -> DataFrame:
@@ -203,10 +209,15 @@ def decoded_media(spark: SparkSession, path: str) -> DataFrame:
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of ``documents`` stored as samples, referenced from a page, resolved and read back."""
     path = scratch_path(spark, "media")
-    store_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store_texts(documents, path)
     pages = spark.read.parquet(path)
     resolved = resolve(interleave(pages.select("row", "doc_id", "html")).withColumn("key", F.struct("row", "doc_id")), decoded_media(spark, path), "key")
     images = resolved.where(F.col("kind") == "image")
     # the caption travels with its reference: it must name the payload that the digest resolved to
     checked = F.when(F.col("caption") == F.col("payload_sha256"), F.col("payload_sha256")).otherwise(F.raise_error(F.lit("a caption lost its payload")))
-    return images.select(F.col("key.doc_id").cast("long").alias("doc_id"), "n_bytes", "payload_bytes", checked.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
+    out = images.select(F.col("key.doc_id").cast(documents.schema["doc_id"].dataType).alias("doc_id"), "n_bytes", "payload_bytes", checked.alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature")
+    with bounded_batches(spark):
+        result = materialise(out)
+    discard(spark, path)
+    return result

@@ -7,7 +7,7 @@ bounded size: it trains a dictionary on records of the archive, puts it in a lea
 
 An archive is a row (name, index, content) of a Parquet table in the shared folder, written by Spark's own
 committer; a lost executor repeats its task and never leaves a half archive. ``content`` is the bytes of a
-``.warc.zst`` file, ``index`` the offset of every record frame.
+``.warc.zst`` file (``export_files`` writes such files), ``index`` the offset of every record frame, for reading some of them.
 
 Defined cases: a null html is an empty payload; a null url is the target ``about:blank``; a page with a null
 page_id is a revisit if a page with an id has its payload, else a response; equal page_ids with equal
@@ -26,10 +26,11 @@ from urllib.parse import quote
 
 import pandas as pd
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_group_aggregate, materialise, scratch_path, small_batches, table
+from .common import bounded_batches, discard, hot_group_aggregate, hot_lookup, materialise, scratch_path, table
 
 REVISIT_BYTES = 100
 #: Uncompressed bytes after which an archive is closed.
@@ -42,6 +43,7 @@ TRAINING_PART = 16 << 10
 LEVEL = 3
 #: Fixed values of the WARC and Zstandard dictionary formats.
 SKIPPABLE_MAGIC = 0x184D2A5D
+SKIPPABLE_FAMILY = 0x184D2A50
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f0c1f0e-5a53-5a8e-9d1b-0d6a3a0c9b11")
 WARC_DATE = "2024-01-01T00:00:00Z"
@@ -118,14 +120,13 @@ def _training_set(records: list[bytes]) -> list[bytes]:
 
 def build_archive(records: list[bytes]) -> tuple[bytes, list[int]]:
     """Content of one ``.warc.zst`` file and the offset of every record's frame."""
-    out, dictionary = bytearray(), None
+    sample = _training_set(records)
     try:
-        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, _training_set(records), level=LEVEL)
-    except zstandard.ZstdError:  # too few or too short records for a dictionary; the format then has none
-        pass
-    if dictionary is not None:
-        raw = dictionary.as_bytes()
-        out += struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw
+        dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, sample, level=LEVEL)
+    except zstandard.ZstdError:  # too few or too short records to train on: their raw content is the dictionary
+        dictionary = zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    raw = dictionary.as_bytes()
+    out = bytearray(struct.pack("<II", SKIPPABLE_MAGIC, len(raw)) + raw)
     compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
     index = []
     for r in records:
@@ -134,13 +135,36 @@ def build_archive(records: list[bytes]) -> tuple[bytes, list[int]]:
     return bytes(out), index
 
 
-def read_archive(content: bytes, index: list[int]) -> Iterator[bytes]:
-    """Records of an archive, each decompressed alone with the embedded dictionary."""
+def frame_end(content: bytes, at: int) -> int:
+    """Where the Zstandard frame at ``at`` ends, told by its headers alone."""
+    magic, size = struct.unpack_from("<II", content, at)
+    if magic & ~0xF == SKIPPABLE_FAMILY:
+        return at + 8 + size
+    checksum = 4 * (content[at + 4] >> 2 & 1)
+    at += zstandard.frame_header_size(content[at : at + 18])
+    last = False
+    while not last:
+        head = int.from_bytes(content[at : at + 3], "little")
+        last, kind, size = head & 1, head >> 1 & 3, head >> 3
+        at += 3 + (1 if kind == 1 else size)  # a block of one repeated byte stores that byte
+    return at + checksum
+
+
+def read_archive(content: bytes, index: list[int] | None = None) -> Iterator[bytes]:
+    """Records of an archive, each decompressed alone with the embedded dictionary; all, or those that ``index`` names."""
     magic, size = struct.unpack_from("<II", content) if len(content) >= 8 else (0, 0)
-    dictionary = zstandard.ZstdCompressionDict(content[8 : 8 + size]) if magic == SKIPPABLE_MAGIC else None
+    begin, dictionary = 0, None
+    if magic == SKIPPABLE_MAGIC:
+        begin, raw = 8 + size, content[8 : 8 + size]
+        dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_AUTO)
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
-    for start, end in zip(index, [*index[1:], len(content)]):
-        yield reader.decompress(content[start:end])
+    if index is not None:
+        yield from (reader.decompress(content[at : frame_end(content, at)]) for at in index)
+        return
+    while begin < len(content):
+        end = frame_end(content, begin)
+        yield reader.decompress(content[begin:end])
+        begin = end
 
 
 def write_archives(planned: DataFrame, path: str) -> None:
@@ -167,30 +191,69 @@ def write_archives(planned: DataFrame, path: str) -> None:
         if held:
             yield close()
 
-    exact = small_batches(planned).select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
-    exact.mapInPandas(write, "name string, index array<long>, content binary").write.parquet(path)
+    exact = planned.select(F.col("page_id").cast("string"), "url", "html", F.col("refers_to").cast("string"))
+    with bounded_batches(planned.sparkSession):
+        exact.mapInPandas(write, "name string, index array<long>, content binary").write.parquet(path)
+
+
+def export_files(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """The archives at ``path`` as ``.warc.zst`` files of a folder that all executors reach (a pyarrow file system URI): name, bytes.
+
+    Names are digests of the content and a file appears by a rename, so a repeated task writes the same file again.
+    """
+
+    def export(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base)
+        for pdf in batches:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                part = f"{base}/.{name}.{uuid.uuid4().hex}"
+                with files.open_output_stream(part) as out:
+                    out.write(content)
+                files.move(part, f"{base}/{name}")
+            yield pd.DataFrame({"name": pdf["name"], "bytes": pdf["content"].map(len)})
+
+    return materialise(spark.read.parquet(path).select("name", "content").mapInPandas(export, "name string, bytes long"))
+
+
+def read_files(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
+    """Every record of the ``.warc.zst`` files of a folder, frame by frame."""
+    return _records(spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content"), with_payload)
 
 
 def read_archives(spark: SparkSession, path: str, with_payload: bool = False) -> DataFrame:
     """Every record of the archives at ``path``: the columns of RECORD (no payload unless asked)."""
+    return _records(spark.read.parquet(path).select("content"), with_payload)
+
+
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """``records`` read with payload, in which a revisit has the payload of the response it refers to."""
+    responses = records.where(F.col("record_type") == "response").groupBy("page_id").agg(F.first("payload").alias("_payload"))
+    found = hot_lookup(records.withColumnRenamed("payload", "_own"), "refers_to", responses.withColumnRenamed("page_id", "refers_to"), ["page_id", "url"])
+    return found.withColumn("payload", F.coalesce("_own", "_payload")).select(*records.columns)
+
 
+def _records(archives: DataFrame, with_payload: bool) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for content, index in zip(pdf["content"], pdf["index"]):
-                rows = [parse_record(r) for r in read_archive(content, list(index))]
+            for content in pdf["content"]:
+                rows = [parse_record(r) for r in read_archive(content)]
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
                 out[["page_id", "refers_to"]] = out[["page_id", "refers_to"]].astype("Int64")
                 yield out if with_payload else out.drop(columns="payload")
 
     schema = RECORD if with_payload else RECORD.rpartition(", ")[0]
-    return spark.read.parquet(path).select("index", "content").mapInPandas(read, schema)
+    return archives.mapInPandas(read, schema)
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``pages`` written to dictionary-compressed archives and read back."""
     path = scratch_path(spark, "warc")
     write_archives(plan_records(table(spark, sf_dir, "pages")), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    with bounded_batches(spark):
+        result = materialise(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    discard(spark, path)
+    return result
 
 
 SQL = """
