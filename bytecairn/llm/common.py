@@ -78,6 +78,12 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_BATCH_SETTING, before)
 
 
+def in_parallel(rows: DataFrame) -> DataFrame:
+    """``rows`` of a table in fewer files than there are cores, dealt anew, since a file may be one row group; others as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(2 * cores, F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns])) if 0 < len(rows.inputFiles()) < cores else rows
+
+
 def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 

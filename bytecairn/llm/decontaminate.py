@@ -1,9 +1,10 @@
 """Benchmark decontamination with DataFrame functions only.
 
 Every window of ``n`` consecutive benchmark words is hashed; the hash set is broadcast while its size is
-within a checked bound and shuffled beyond it. Documents are scanned window by window inside one
-code-generated stage (explode positions, hash the slice, probe), hits are verified word by word, and the
-hit positions mark words, spans or whole documents.
+within a checked bound. Documents are scanned window by window inside one code-generated stage (explode positions,
+hash the slice at every window length, probe), hits are verified word by word, and the hit positions mark words,
+spans or whole documents. Beyond the bound positions and hashes are shuffled, never words: what a text sends is in
+proportion to its length, and candidates are verified on the text they came from.
 
 Defined cases: null and empty texts have no words and are clean; items of fewer than ``n`` words (but not
 none) are one window of their own length; items without words never occur; repeated items and repeated
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise, packed, table, unpacked
+from .common import in_parallel, lower_ascii, materialise, packed, table, unpacked
 
 #: Bytes that separate words once A-Z is folded; fixed by the contract.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,21 +45,25 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> Dat
     """One row per document key and verified hit: doc_id, _text_hash, _at (from 1), _len, _window."""
     windows = benchmark_windows(benchmark, n)
     distinct = windows.groupBy("_hash", "_len", "_window").agg(F.lit(1).alias("_one")).drop("_one").withColumnRenamed("_len", "_wlen")
-    facts = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    chars = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()["chars"]
     lengths = sorted(r[0] for r in windows.select("_len").distinct().collect())  # n values at most
-    if facts["chars"] <= BROADCAST_CHARS:
-        distinct = F.broadcast(distinct)
-    scanned = documents.select("doc_id", F.xxhash64("text").alias("_text_hash"), words_of(F.col("text")).alias("_w"))
-    spots = scanned.select("doc_id", "_text_hash", "_w", F.posexplode("_w").alias("_pos", "_word"))
-    hits = None
-    for length in lengths:
-        probe = spots.where(F.col("_pos") + length <= F.size("_w")).withColumn("_probe", F.xxhash64(F.slice("_w", F.col("_pos") + 1, F.lit(length))))
-        same = (F.col("_probe") == F.col("_hash")) & (F.col("_wlen") == length) & (F.slice("_w", F.col("_pos") + 1, F.lit(length)) == F.col("_window"))
-        found = probe.join(distinct, same, "inner").select("doc_id", "_text_hash", (F.col("_pos") + 1).alias("_at"), F.lit(length).alias("_len"), "_window")
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        hits = spots.where(F.lit(False)).select("doc_id", "_text_hash", F.col("_pos").alias("_at"), F.col("_pos").alias("_len"), F.col("_w").alias("_window"))
-    return hits
+    keyed = in_parallel(documents.select("doc_id", "text")).select("doc_id", "text", F.xxhash64("text").alias("_text_hash"))
+    places = keyed.select("doc_id", "_text_hash", words_of(F.col("text")).alias("_w")).select("doc_id", "_text_hash", "_w", F.posexplode("_w").alias("_pos", "_word"))
+    at = lambda length: F.slice("_w", F.col("_pos") + 1, length)
+    probe = lambda length: F.struct(F.lit(length).alias("_len"), F.xxhash64(at(F.lit(length))).alias("_probe"))
+    # one scan for all lengths
+    spots = places.select("doc_id", "_text_hash", "_w", "_pos", F.inline(F.array(*[probe(length) for length in lengths or [n]])))
+    spots = spots.where(F.col("_pos") + F.col("_len") <= F.size("_w"))
+    same = (F.col("_probe") == F.col("_hash")) & (F.col("_len") == F.col("_wlen"))
+    hit = ["doc_id", "_text_hash", (F.col("_pos") + 1).alias("_at"), "_len", "_window"]
+    if chars <= BROADCAST_CHARS:
+        return spots.join(F.broadcast(distinct), same & (at(F.col("_len")) == F.col("_window")), "inner").select(*hit)
+    # positions and hashes are shuffled, never the words; candidates meet their texts again and are verified there
+    found = spots.select("doc_id", "_text_hash", "_pos", "_len", "_probe").join(distinct, same, "inner").select(*hit)
+    by_doc = found.groupBy("doc_id", "_text_hash").agg(F.collect_set(F.struct("_at", "_len", "_window")).alias("_found")).withColumnsRenamed({"doc_id": "_doc", "_text_hash": "_hash"})
+    met = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "inner")
+    verified = met.select("doc_id", "_text_hash", words_of(F.col("text")).alias("_w"), "_found").select("doc_id", "_text_hash", "_w", F.inline("_found"))
+    return verified.where(F.slice("_w", F.col("_at"), F.col("_len")) == F.col("_window")).drop("_w")
 
 
 def _covered(spans: Column) -> Column:
@@ -91,7 +96,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) ->
 def report(documents: DataFrame, benchmark: DataFrame, n: int = NGRAM) -> DataFrame:
     """One row per document: how many of its words lie in a benchmark window, and which items occur."""
     found = contamination(documents, benchmark, n)
-    docs = documents.select("doc_id", F.xxhash64("text").alias("_text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    docs = in_parallel(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("_text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text_hash") == F.col("_hash")), "left")
     items = F.coalesce("_items", F.array().cast("array<string>"))
     n_hit = F.coalesce("_n_hit", F.lit(0)).cast("long")

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, packed, table, unpacked
+from .common import in_parallel, materialise, packed, table, unpacked
 
 MIN_CHARS = 20
 SEGMENTS = 16
@@ -66,7 +66,7 @@ def _half_keys(line: Column) -> Column:
 
 def _lines(documents: DataFrame) -> DataFrame:
     """All lines but blank ones: place (doc_id, h, no), line."""
-    numbered = documents.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    numbered = in_parallel(documents.select("doc_id", "text")).select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     return numbered.where(F.trim("line") != "").select(F.struct("doc_id", "h", "no").alias("place"), "line")
 
 

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, discard, fold_of, materialise, scratch_path, table
+from .common import bounded_batches, discard, fold_of, in_parallel, materialise, scratch_path, table
 
 #: Bytes of text in a block.
 BLOCK_BYTES = 12 << 20
@@ -127,7 +127,7 @@ def blocks(documents: DataFrame, held_out: Column, path: str) -> DataFrame:
                 own.append(base + number)
             yield pd.DataFrame({"block": own, "doc_id": pdf["doc_id"], "held": pdf["held"], "text": pdf["text"]})
 
-    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held"), "text")
+    rows = in_parallel(documents.select(F.col("doc_id").cast("string").alias("doc_id"), held_out.alias("held"), "text"))
     rows.mapInPandas(deal, "block long, doc_id string, held boolean, text string").write.option("compression", "zstd").parquet(path)
     return documents.sparkSession.read.parquet(path)
 

@@ -51,9 +51,14 @@ def test_report_matches_brute_force(spark):
 
 def test_the_shuffled_way_agrees(spark, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_CHARS", 0)
-    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    rows = [*DOCS, (90, " ".join(f"w{i % 977}" for i in range(20_000)) + " " + PASSAGE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted((tuple(r) for r in dc.report(docs, items).collect()), key=str) == brute(DOCS, ITEMS)
+    assert sorted((tuple(r) for r in dc.report(docs, items).collect()), key=str) == brute(rows, ITEMS)
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = dc.find_hits(docs, items)._jdf.queryExecution().explainString(mode)
+    sent = re.findall(r"\) Exchange\s*\nInput \[\d+\]: \[(.*?)\]", plan)
+    assert sent and not any("_w#" in columns for columns in sent)
 
 
 @pytest.mark.parametrize("mode", ["documents", "spans"])
