@@ -139,7 +139,7 @@ def slow_fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def brute_components(ids, fps):
+def brute_components(ids, fps, distance=4):
     parent = list(range(len(fps)))
 
     def root(x):
@@ -149,7 +149,7 @@ def brute_components(ids, fps):
 
     for i in range(len(fps)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= sh.DISTANCE:
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
                 parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i in range(len(fps)):
@@ -180,8 +180,8 @@ def test_large_groups_keep_components(seed):
                 x ^= 1 << int(b)
             fps.append(x)
     fps = np.unique(np.array(fps, dtype=np.uint64))
-    links = [(int(a), int(b)) for aa, bb in sh._links_of_large(fps) for a, b in zip(aa, bb)]
-    assert all((a ^ b).bit_count() <= sh.DISTANCE for a, b in links) and len(links) < len(fps)
+    links = [(int(a), int(b)) for aa, bb in sh._links_of_large(fps[:, None]) for a, b in zip(aa[:, 0], bb[:, 0])]
+    assert all((a ^ b).bit_count() <= sh.EXACT.distance for a, b in links) and len(links) < len(fps)
     parent = {int(x): int(x) for x in fps}
 
     def root(x):
@@ -209,8 +209,8 @@ def test_signatures_find_every_pair(spark):
                 y ^= 1 << b
             fps.add(y)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in fps]
-    links = sh.link_pairs(spark.createDataFrame(signed, "fp long"))
-    got = {frozenset((r["a"] % (1 << 64), r["b"] % (1 << 64))) for r in links.collect()}
+    links = sh.link_pairs(spark.createDataFrame(signed, "f0 long"))
+    got = {frozenset((r["a0"] % (1 << 64), r["b0"] % (1 << 64))) for r in links.collect()}
     want = {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 4}
     assert got == want
 
@@ -230,3 +230,72 @@ def test_simhash_edges(spark, edge, no_documents):
     assert kept.columns == edge.columns
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted({c for *_, c in want if c is not None})
     assert sh.near_duplicates(no_documents).count() == 0 and sh.keep_one_per_component(no_documents).count() == 0
+
+
+def shingles(text, k=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(rng, words, edits):
+    out = list(words)
+    for i in rng.sample(range(len(out)), edits):
+        out[i] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+def test_near_scheme_against_jaccard(spark):
+    """Of pairs at 0.8 or more nine in ten are in one component, and no two texts below 0.5 are."""
+    rng = random.Random(11)
+    texts, pairs = [], []
+    for _ in range(250):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        texts.append(" ".join(words))
+        for share in (0.004, 0.012, 0.02, 0.12):
+            texts.append(" ".join(edited(rng, words, max(1, int(len(words) * share)))))
+    sets = [shingles(t) for t in texts]
+    for base in range(0, len(texts), 5):
+        pairs += [(base, base + k, jaccard(sets[base], sets[base + k])) for k in range(1, 5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sh.near_duplicates(df, sh.NEAR_SHINGLE, sh.NEAR).collect()
+    group = {r["doc_id"]: r["component_id"] for r in rows}
+    near = [group[a] == group[b] for a, b, j in pairs if j >= 0.8]
+    edge_pairs = [group[a] == group[b] for a, b, j in pairs if 0.8 <= j < 0.85]
+    assert len(near) > 400 and np.mean(near) >= 0.95 and len(edge_pairs) > 30 and np.mean(edge_pairs) >= 0.85
+    assert not any(group[a] == group[b] for a, b, j in pairs if j < 0.5)
+    assert len({g // 5 for g in group.values()}) == 250 and all(g // 5 == d // 5 for d, g in group.items())
+    assert all(len(r["fingerprint"]) == 32 for r in rows)
+
+
+def test_wide_fingerprints_in_large_groups():
+    """Leaders keep the components of the link relation for fingerprints of several words too."""
+    rng = np.random.default_rng(8)
+    fps = []
+    for centre in rng.integers(0, 1 << 63, (4, 2), dtype=np.uint64):
+        for _ in range(60):
+            x = centre.copy()
+            for b in rng.integers(0, 128, rng.integers(0, 24)):
+                x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+            fps.append(x)
+    fps = np.unique(np.array(fps), axis=0)
+    wide = [int(a) << 64 | int(b) for a, b in fps]
+    parent = {x: x for x in wide}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for aa, bb in sh._links_of_large(fps, sh.NEAR):
+        for a, b in zip(aa, bb):
+            a, b = int(a[0]) << 64 | int(a[1]), int(b[0]) << 64 | int(b[1])
+            assert (a ^ b).bit_count() <= sh.NEAR.distance
+            parent[root(a)] = root(b)
+    for a in wide:
+        for b in wide:
+            if (a ^ b).bit_count() <= sh.NEAR.distance:
+                assert root(a) == root(b)
