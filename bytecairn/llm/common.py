@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -46,9 +46,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Scratch tables that this process has named and not removed.
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark)}/bytecairn-{what}-{uuid.uuid4().hex}"
+    _SCRATCH.append(f"{shared_dir(spark)}/bytecairn-{what}-{uuid.uuid4().hex}")
+    return _SCRATCH[-1]
 
 
 def discard(spark: SparkSession, *paths: str) -> None:
@@ -57,6 +62,18 @@ def discard(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        if p in _SCRATCH:
+            _SCRATCH.remove(p)
+
+
+@contextmanager
+def only_kept(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Removes, at the end, the scratch tables named since the beginning, but for those given to the function it yields."""
+    before, kept = set(_SCRATCH), set()
+    try:
+        yield kept.add
+    finally:
+        discard(spark, *[p for p in _SCRATCH if p not in before and p not in kept])
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, for the sake of very long texts.

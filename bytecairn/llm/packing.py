@@ -1,11 +1,15 @@
-"""Best-fit packing of all pieces at once, by the counts of their lengths.
+"""Best-fit packing by hierarchical residual merging.
 
-Documents are tokenized and cut into pieces. Pieces of one length are alike to packing, so what is packed, longest
-first, each into the fullest sequence that takes it, are the lengths with their counts over the whole table
-(``CAPACITY`` of them at most, whatever the table's size). The plan says for ranges of a length's pieces
-which sequences they go to; a piece finds its place by its rank among those of its length. The rank is its number within
-its partition plus the count in the partitions before; nothing is gathered, and no piece is left out of the
-comparison. Numbered pieces are checkpointed, so that a repeated task gives the same ranks.
+Documents are tokenized and cut into pieces, and these (a few numbers each, no ids) are dealt evenly to partitions of about ``LOCAL_TOKENS``
+tokens, so that each has its share of long and short ones however the table is laid out. Every partition packs its own pieces best-fit, longest first. Bins filled
+to ``NEARLY_FULL`` are sequences; underfull bins become items of a next best-fit round in groups of ``FAN_IN`` partitions, what
+is underfull there items of the next, and so on up the tree until one group is left, whose bins are sequences whatever their fill.
+
+Items of one size are alike to packing, so a group is packed by its counts of sizes (``CAPACITY`` of them at most,
+however many items it has): its plan says for ranges of a size's items which bins they go to. Nothing is left out of a
+round, no group holds its items, and what goes up the tree are ranges of bins. A piece has its number among those
+of its length in its partition, and finds its place by following the plans of its partition's groups upward.
+Numbered pieces are checkpointed, so that a repeated task gives the same numbers.
 
 Tokenizing goes word by word: this tokenizer never joins text across white space, so the ids of a text are
 those of its space-separated words, which bounded caches hold.
@@ -32,13 +36,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, materialise, slices, table
+from .common import bounded_batches, in_parallel, materialise, scratch_path, slices, table
 
 CAPACITY = 4096
 END_ID = 1
-#: No longer of effect: once the arity of a tree of bins, and how many bins a group of it passed on.
+#: Share of the capacity from which a bin is a sequence before the last round.
+NEARLY_FULL = 0.999
+#: Partitions, then groups, whose underfull bins are merged together.
 FAN_IN = 8
-PASS_ON = 20_000
+#: Tokens, and pieces, of a partition that is packed locally.
+LOCAL_TOKENS, LOCAL_PIECES = 1 << 24, 1 << 20
 CACHE_WORDS = 500_000
 CACHE_PARTS = 300_000
 VOCABULARY = "word_bpe_49k.json"
@@ -115,7 +122,7 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
+    return in_parallel(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
@@ -139,23 +146,27 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """What ``best_fit`` does to sorted lengths, from their counts: rows (length, rank, sequence, each, start).
+Plan = list[tuple[int, int, int, int, int]]
+
+
+def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[Plan, list[tuple[int, int, int]]]:
+    """What ``best_fit`` does to sorted lengths, from their counts: rows (length, rank, sequence, each, start), and the sequences (fill, first, n).
 
     From its ``rank`` on, the pieces of a length go ``each`` to a sequence into the sequences from ``sequence`` on,
     the first of a sequence standing at ``start``. Sequences of equal room are kept as ranges, so the work depends on the
     number of lengths and ranges, not on that of pieces.
     """
-    plan: list[tuple[int, int, int, int, int]] = []
+    plan: Plan = []
     by_room: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # ranges (first sequence, sequences)
     rooms = 0  # bit r is set while a sequence with r free exists
     sequences = 0
 
     def put(room: int, first: int, n: int) -> None:
         nonlocal rooms
-        if n and room:
+        if n:
             by_room[room].append((first, n))
-            rooms |= 1 << room
+            if room:
+                rooms |= 1 << room
 
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
@@ -180,11 +191,11 @@ def best_fit_plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
                 put(room - rest * length, first + filled, 1)
             put(room, first + filled + (rest > 0), n - filled - (rest > 0))
             rank, left = rank + filled * each + rest, left - filled * each - rest
-    return plan
+    return plan, [(capacity - room, first, n) for room, ranges in enumerate(by_room) for first, n in ranges]
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Pieces with their partition and their number, in it, among those of their length."""
+    """Pieces with their partition (``part``) and their number, in it, among those of their length (``k``)."""
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, seen = TaskContext.get().partitionId(), Counter()
@@ -194,40 +205,109 @@ def _numbered(rows: DataFrame) -> DataFrame:
             yield pdf.assign(doc_id=pdf["doc_id"].astype("Int64"), part=part, k=lengths.groupby(lengths).cumcount() + lengths.map(seen.__getitem__))
             seen.update(dict(zip(counts.index.tolist(), counts.tolist())))
 
-    whole_ids = rows.select(*[c.split()[0] for c in PIECE.split(", ")])
-    return whole_ids.mapInPandas(number, PIECE + ", part int, k long")
-
-
-def pack(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN, pass_on: int = PASS_ON) -> DataFrame:
-    """Sequences of pieces: the piece columns with sequence_id and offset. ``fan_in`` and ``pass_on`` have no effect any more."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(number, schema + ", part long, k long")
+
+
+#: Ranges of items and where a group puts them (child, fill, first, n, at, sequence, each, start), and its bins (no child; fill, first, n).
+GROUP = "node long, child long, fill long, first long, n long, at long, sequence long, each long, start long"
+#: Items of level 0 are pieces, numbered within their length; this tells equal numbers of different lengths apart.
+LENGTH_SHIFT = 40
+
+
+def _pack_group(items: pd.DataFrame, capacity: int) -> list[tuple]:
+    """Rows of GROUP, without the node, for the items (child, fill, first, n) of one group."""
+    counts = items.groupby("fill")["n"].sum()
+    plan, bins = best_fit_plan({int(f): int(n) for f, n in counts.items()}, capacity)
+    ends = {}
+    for (fill, rank, *_), after in zip(plan, [*plan[1:], None]):
+        ends[fill, rank] = after[1] if after and after[0] == fill else int(counts[fill])
+    out = [(None, fill, first, n, None, None, None, None) for fill, first, n in bins]
+    ranges = items.sort_values(["fill", "child", "first"], ascending=[False, True, True])
+    steps, rank, current = iter(plan), 0, None
+    step = next(steps, None)
+    for child, fill, first, n in zip(ranges["child"].tolist(), ranges["fill"].tolist(), ranges["first"].tolist(), ranges["n"].tolist()):
+        if fill != current:
+            rank, current = 0, fill
+        while n:
+            while step[0] != fill or ends[step[0], step[1]] <= rank:
+                step = next(steps)
+            taken = min(n, ends[step[0], step[1]] - rank)
+            out.append((child, fill, first, taken, rank - step[1], *step[2:]))
+            rank, first, n = rank + taken, first + taken, n - taken
+    return out
+
+
+def _merged(items: DataFrame, capacity: int) -> DataFrame:
+    """One round: GROUP rows of every node, from items (node, child, fill, first, n)."""
+    names = [c.split()[0] for c in GROUP.split(", ")]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *row) for row in _pack_group(pdf, capacity)], columns=names).astype({c: "Int64" for c in names})
+
+    return materialise(items.groupBy("node").applyInPandas(run, GROUP))
+
+
+def _placed(pieces: pd.DataFrame, plans: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of one partition's pieces, following the plans of its groups level by level."""
+    place = (pieces["length"].to_numpy() << LENGTH_SHIFT) + pieces["k"].to_numpy()
+    sequence, offset, open_ = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64), np.arange(len(place))
+    for _, level in plans.sort_values(["level", "first"]).groupby("level"):
+        fill, first, n, at, start_at, each, start, base = (level[c].to_numpy().astype(np.int64) for c in ("fill", "first", "n", "at", "sequence", "each", "start", "base"))
+        row = np.searchsorted(first, place[open_], "right") - 1
+        met = (row >= 0) & (place[open_] < first[row] + n[row])
+        open_, row = open_[met], row[met]
+        item = at[row] + place[open_] - first[row]
+        place[open_] = start_at[row] + item // each[row]
+        offset[open_] += start[row] + item % each[row] * fill[row]
+        sequence[open_] = base[row] + place[open_]
+    return sequence, offset
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, fan_in: int = FAN_IN) -> DataFrame:
+    """Sequences of pieces: the columns of ``rows`` (those of PIECE and any others) with sequence_id and offset."""
     with bounded_batches(rows.sparkSession):
-        numbered = materialise(_numbered(rows))
-    sizes = materialise(numbered.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n")))
-    counts = {r["length"]: r["n"] for r in sizes.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # a row a length
-    plan = best_fit_plan(counts, capacity)
-    columns = [np.array(c, dtype=np.int64) for c in zip(*plan)] or [np.zeros(0, np.int64)] * 5
-    lengths, ranks = columns[0], columns[1]
-    order = np.lexsort((ranks, lengths))
-    shared = rows.sparkSession.sparkContext.broadcast([c[order] for c in columns])
-
-    @F.pandas_udf("sequence_id long, offset long")
-    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        lengths, ranks, sequences, each, starts = shared.value
-        size, number = length.to_numpy().astype(np.int64), rank.to_numpy().astype(np.int64)
-        first, end = np.searchsorted(lengths, size), np.searchsorted(lengths, size, "right")
-        at = first.copy()
-        while len(more := np.flatnonzero(end - at > 1)):  # the last row of the length that starts no later
-            middle = (at[more] + end[more]) // 2
-            right = ranks[middle] <= number[more]
-            at[more[right]], end[more[~right]] = middle[right], middle[~right]
-        beyond = number - ranks[at]
-        return pd.DataFrame({"sequence_id": sequences[at] + beyond // each[at], "offset": starts[at] + beyond % each[at] * size})
-
-    before = F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")
-    offsets = sizes.select(F.col("length").alias("_length"), F.col("part").alias("_part"), before.alias("_before"))
-    ranked = numbered.join(offsets, (F.col("length") == F.col("_length")) & (F.col("part") == F.col("_part")), "inner")
-    names = [c.split()[0] for c in PIECE.split(", ")]
-    return ranked.select(*names, place("length", F.col("_before") + F.col("k")).alias("_place")).select(*names, "_place.sequence_id", "_place.offset")
+        cut = materialise(rows)
+    facts = cut.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count(F.lit(1)).alias("pieces")).first()
+    numbered = materialise(_numbered(cut.repartition(max(1, -(-facts["tokens"] // LOCAL_TOKENS), -(-facts["pieces"] // LOCAL_PIECES)))))
+    sizes = materialise(numbered.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")))
+    parts = sizes.select("part").distinct()
+    nodes, groups = [F.col("part")], parts.count()
+    items = sizes.select(F.col("part").alias("node"), F.col("part").alias("child"), F.col("length").alias("fill"), F.shiftleft("length", LENGTH_SHIFT).alias("first"), "n")
+    levels = [_merged(items, capacity)]
+    while groups > 1:
+        groups = -(-groups // fan_in)
+        up = lambda node: F.pmod(F.xxhash64(node), F.lit(groups)) if len(levels) == 1 else F.floor(node / fan_in)  # noqa: B023, E731
+        nodes.append(up(nodes[-1]))
+        underfull = levels[-1].where(F.col("child").isNull() & (F.col("fill") < NEARLY_FULL * capacity))
+        levels.append(_merged(underfull.select(up(F.col("node")).alias("node"), F.col("node").alias("child"), "fill", "first", "n"), capacity))
+    # every group numbers its bins from a base of its own; a row a group goes through the window
+    every = levels[0].withColumn("level", F.lit(0))
+    for k, more in enumerate(levels[1:], 1):
+        every = every.unionByName(more.withColumn("level", F.lit(k)))
+    used = every.where(F.col("child").isNull()).groupBy("level", "node").agg(F.max(F.col("first") + F.col("n")).alias("_used"))
+    base = used.select("level", "node", (F.sum("_used").over(Window.orderBy("level", "node")) - F.col("_used")).alias("base"))
+    based = every.where(F.col("child").isNotNull()).join(base, ["level", "node"])
+    path = parts.select("part", F.posexplode(F.array(F.col("part"), *nodes[:-1])).alias("level", "child"))
+    plans = path.join(based, ["level", "child"]).select(F.col("part").alias("_part"), "level", "fill", "first", "n", "at", "sequence", "each", "start", "base")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
+
+    def place(pieces: pd.DataFrame, plans: pd.DataFrame) -> pd.DataFrame:
+        sequence, offset = _placed(pieces, plans)
+        return pieces.drop(columns=["part", "k"]).assign(doc_id=pieces["doc_id"].astype("Int64"), sequence_id=sequence, offset=offset)
+
+    return numbered.groupBy("part").cogroup(plans.groupBy("_part")).applyInPandas(place, schema)
+
+
+def packed_corpus(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """All documents as pieces with their token ids, placed in sequences. The ids wait in a scratch table while their lengths are packed."""
+    spark = documents.sparkSession
+    path = scratch_path(spark, "pieces")
+    with bounded_batches(spark):
+        pieces(documents, capacity, with_ids=True).withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+    stored = spark.read.parquet(path)
+    placed = pack(stored.drop("ids"), capacity).select("_row", "sequence_id", "offset")
+    return stored.join(placed, "_row").drop("_row")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

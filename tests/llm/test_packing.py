@@ -92,19 +92,38 @@ def test_edges_and_tree(spark, edge, tokenizer, partitions, fan_in):
     assert n <= -(-sum(r["length"] for r in rows) // 128) + 1
 
 
-def test_bins_that_cannot_merge_are_bounded_not_lost(spark):
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    rows = spark.createDataFrame([(i, 0, 0, 60, 0) for i in range(500)], schema).repartition(9)
-    packed = pk.pack(rows, 100, 3, pass_on=5).collect()
+SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+def test_bins_that_cannot_merge(spark):
+    rows = spark.createDataFrame([(i, 0, 0, 60, 0) for i in range(500)], SCHEMA).repartition(9)
+    packed = pk.pack(rows, 100, 3).collect()
     assert check(packed, [(i, 0, 0, 60, 0) for i in range(500)], 100) == 500
 
 
+@pytest.mark.parametrize("seed,fan_in,local,most", [(1, 2, 20_000, 1.02), (2, 3, 5000, 1.04), (3, 8, 2000, 1.08)])
+def test_tree_of_rounds(spark, monkeypatch, seed, fan_in, local, most):
+    """Many partitions and several levels: every piece placed once; partitions of a few bins each cost some sequences."""
+    monkeypatch.setattr(pk, "LOCAL_TOKENS", local)
+    rng = random.Random(seed)
+    want = [(i, 0, 0, rng.choice([rng.randint(1, 100), rng.randint(1, 20), 100, 51, 33]), 0) for i in range(1500)]
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(want, 17), SCHEMA)
+    n = check(pk.pack(rows, 100, fan_in).collect(), want, 100)
+    lengths = sorted((w[3] for w in want), reverse=True)
+    assert n <= most * len(brute_best_fit(lengths, 100)) + 1
+
+
+def test_other_columns_travel(spark):
+    rows = spark.createDataFrame([(None, 0, 0, 3, 7, [1, 2, 3]), (2, 0, 0, 1, 8, [5])], SCHEMA + ", ids array<int>")
+    assert sorted((r["ids_crc32"], r["doc_id"], r["ids"]) for r in pk.pack(rows, 8).collect()) == [(7, None, [1, 2, 3]), (8, 2, [5])]
+
+
 def test_plan_is_best_fit():
     rng = random.Random(6)
     for case in range(40):
         lengths = sorted((rng.choice([rng.randint(1, 100), 60, 7]) for _ in range(rng.randint(0, 300))), reverse=True)
         seen, places = defaultdict(int), defaultdict(list)
-        plan = pk.best_fit_plan(Counter(lengths), 100)
+        plan, bins = pk.best_fit_plan(Counter(lengths), 100)
         for n in lengths:
             rank, seen[n] = seen[n], seen[n] + 1
             _, start, sequence, each, at = max(row for row in plan if row[0] == n and row[1] <= rank)
@@ -115,15 +134,20 @@ def test_plan_is_best_fit():
             for offset, n in sorted(sequence):
                 assert offset == end
                 end += n
-        assert sorted(sum(n for _, n in s) for s in places.values()) == sorted(b[0] for b in brute_best_fit(lengths, 100)), case
+        fills = sorted(sum(n for _, n in s) for s in places.values())
+        assert fills == sorted(b[0] for b in brute_best_fit(lengths, 100)), case
+        assert fills == sorted(f for f, _, n in bins for _ in range(n))
+        assert sorted(s for _, first, n in bins for s in range(first, first + n)) == list(range(len(places)))
 
 
-def test_short_pieces_fill_sequences_of_other_partitions(spark):
-    """Long pieces in some partitions, short ones in others: as few sequences as best fit over all of them gives."""
+def test_short_pieces_fill_sequences_of_other_partitions(spark, monkeypatch):
+    """Long pieces in some partitions, short ones in others: as few sequences as best fit over all of them gives, or nearly, in many partitions."""
     want = [(i, 0, 0, 60 if i < 200 else 20, 0) for i in range(600)]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     rows = spark.createDataFrame(spark.sparkContext.parallelize(want, 6), schema)
     assert check(pk.pack(rows, 100).collect(), want, 100) == 200
+    monkeypatch.setattr(pk, "LOCAL_TOKENS", 5000)
+    assert check(pk.pack(rows, 100).collect(), want, 100) <= 208
 
 
 def test_tables(spark, no_documents, data, tokenizer):
@@ -137,3 +161,9 @@ def test_tables(spark, no_documents, data, tokenizer):
 def test_ids_come_with_pieces_on_request(spark, tokenizer):
     row = pk.pieces(spark.createDataFrame([(1, "Hello there")], "doc_id long, text string"), with_ids=True).first()
     assert row["ids"] == tokenizer.encode("Hello there", add_special_tokens=False).ids + [1]
+
+
+def test_packed_corpus_holds_its_ids(spark, edge, tokenizer):
+    rows = pk.packed_corpus(edge, 128).collect()
+    check(rows, expected(tokenizer, [(r[0], r[1]) for r in edge_rows()], 128), 128)
+    assert all(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] and len(r["ids"]) == r["length"] for r in rows)

@@ -5,9 +5,10 @@ import re
 import pytest
 
 import corpus_pipeline as cp
-from bytecairn.llm import simhash
+from bytecairn.llm import common, simhash
 
-from .test_dedup import brute_components, brute_lines
+from .conftest import LONG
+from .test_dedup import brute_components, brute_lines, jaccard, shingles
 from .test_decontaminate import brute as brute_hits
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -47,9 +48,22 @@ def test_line_stage(stages):
 
 
 def test_simhash_stage(stages):
+    """What stays is one of every component of the links that the signatures find, and no two texts far apart are one."""
     before, after, _ = stages["simhash_dedup"]
-    ids = [r["doc_id"] for r in before]
-    assert sorted(r["doc_id"] for r in after) == sorted(set(brute_components(ids, [simhash.simhash64(r["text"]) for r in before])))
+    fps = [[simhash.simhash(r["text"], 5, 2)[k] for k in (0, 1)] for r in before]
+    texts, kept = {r["doc_id"]: r["text"] for r in before}, {r["doc_id"] for r in after}
+    whole = [a << 64 | b for a, b in fps]
+    least = brute_components([r["doc_id"] for r in before], whole, simhash.NEAR.distance)
+    assert {r["doc_id"] for r, least_id in zip(before, least) if r["doc_id"] == least_id} <= kept
+    for r, least_id in zip(before, least):
+        if r["doc_id"] not in kept:
+            others = [d for d, other in zip(texts, least) if other == least_id and d != r["doc_id"]]
+            assert max(jaccard(shingles(r["text"]), shingles(texts[d])) for d in others) > 0.5
+    # copies at a similarity of 0.8 or more: nine in ten go
+    sets = [shingles(r["text"]) for r in before]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 0.8 * max(len(sets[a]), len(sets[b])) <= min(len(sets[a]), len(sets[b])) and jaccard(sets[a], sets[b]) >= 0.8]
+    both = [before[a]["doc_id"] in kept and before[b]["doc_id"] in kept for a, b in near]
+    assert sum(both) <= 0.1 * len(near)
 
 
 def test_decontamination_stage(stages, spark, data):
@@ -74,7 +88,30 @@ def test_stages_take_empty_tables(spark, data):
         assert out.count() == 0, name
 
 
-def test_stages_take_nulls(spark, data):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, "some text in a language that is known here", "en", None, 3), (2, "", "en", "s", None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for name, stage in cp.STAGES:
-        assert stage(spark, docs, data).count() >= 0, name
+#: Ids that every stage keeps, of the rows below, when it alone takes them.
+NULLS = [(None, None, None, None, None), (1, "some text in a language that is known here", "en", None, 3), (2, "", "en", "s", None), (3, LONG, "en", "s", 1), (3, LONG, "en", "s", 1), (4, None, "en", "s", 1)]
+KEPT = {
+    "language_id": [1, 3, 3],
+    "line_dedup": [None, 1, 2, 3, 3, 4],
+    "simhash_dedup": [1, 2, 3],  # the three texts without words are one component
+    "decontamination": [None, 1, 2, 3, 3, 4],
+}
+
+
+def test_stages_take_nulls_long_texts_and_clashing_columns(spark, data):
+    docs = spark.createDataFrame([(*r, "x", "y", 7) for r in NULLS], "doc_id long, text string, lang string, source string, n_chars long, _key string, `row` string, _no int")
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, data)
+        assert out.columns == COLUMNS
+        rows = out.collect()
+        assert sorted((r["doc_id"] for r in rows), key=str) == sorted(KEPT[name], key=str), name
+        assert all(r["text"] == LONG for r in rows if r["doc_id"] == 3), name
+    pieces = cp.STAGES[-1][1](spark, docs, data).collect()
+    assert {r["doc_id"] for r in pieces} == {None, 1, 2, 3, 4}
+    assert all(len(r["ids"]) == r["length"] for r in pieces)
+
+
+def test_run_removes_what_it_wrote(spark, data):
+    before = set(common._SCRATCH)
+    out = cp.run(spark, data)
+    assert len([p for p in common._SCRATCH if p not in before]) == 1 and out.count() > 0
