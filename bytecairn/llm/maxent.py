@@ -61,8 +61,8 @@ BATCH, STEP = 1 << 16, 1 << 12
 LIMIT = 20.0
 #: Feature rows that travel together when sums are merged.
 PART = 1 << 12
-#: Tasks whose sums are merged before those of others.
-MERGE = 32
+#: Tasks whose sums are merged before those of others, and tokens below which a round takes no further task.
+MERGE, TASK_TOKENS = 32, 1 << 22
 BEGIN = 0x9E3779B9
 END = b""
 LONG_WORD = 64
@@ -345,9 +345,10 @@ def _sum_parts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": [key[0]], "part": [key[1]], "sums": [total.astype(np.float32).tobytes()]})
 
 
-def sums_over(dealt: DataFrame, weights: Weights, observed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """``local_sums`` over all training texts. Every task gives the touched parts of the tables once; the driver gets their sums."""
+def sums_over(dealt: DataFrame, n: int, weights: Weights, observed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """``local_sums`` over all training texts (``n`` tokens). Every task gives the touched parts of the tables once; the driver gets their sums."""
     spark = dealt.sparkSession
+    tasks = min(spark.sparkContext.defaultParallelism, n // TASK_TOKENS + 1)
     shared = spark.sparkContext.broadcast(weights)  # 2 * MOST_ROWS rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -359,9 +360,9 @@ def sums_over(dealt: DataFrame, weights: Weights, observed: bool) -> tuple[np.nd
                     yield pd.DataFrame({"name": [name], "part": [part], "sums": [own.tobytes()], "task": [task]})
 
     own = dealt.where(~F.col("held")).select("text")
-    sums = own.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(run, "name string, part int, sums binary, task int")
+    sums = own.coalesce(tasks).mapInPandas(run, "name string, part int, sums binary, task int")
     schema = "name string, part int, sums binary"
-    if spark.sparkContext.defaultParallelism > MERGE:
+    if tasks > MERGE:
         sums = sums.groupBy("name", "part", "task").applyInPandas(lambda key, pdf: _sum_parts(key[:2], pdf), schema)
     out = np.zeros_like(weights.rows), np.zeros_like(weights.word_rows)
     for r in sums.groupBy("name", "part").applyInPandas(_sum_parts, schema).collect():  # a row a part: the size of the model
@@ -388,13 +389,13 @@ def train(dealt: DataFrame, vocab: Vocabulary, rows: int | None = None, rounds:
     weights = initial_weights(vocab, rows or rows_for(vocab))
     if not vocab.n or not rounds:
         return weights
-    observed = sums_over(dealt, weights, True)
+    observed = sums_over(dealt, vocab.n, weights, True)
     prior = np.broadcast_to(np.exp(weights.bias), observed[0].shape), np.tile(np.exp(weights.word_bias), (len(observed[1]) // CLASSES, 1))
     # before the first step every row expects its classes by the biases
     expected = tuple(o.sum(axis=1, keepdims=True) * p for o, p in zip(observed, prior))
     for number in range(rounds):
         if number:
-            expected = sums_over(dealt, weights, False)
+            expected = sums_over(dealt, vocab.n, weights, False)
         _step(weights.rows, observed[0], expected[0], prior[0])
         _step(weights.word_rows, observed[1], expected[1], prior[1])
     return weights
