@@ -104,6 +104,36 @@ def merkle_root(hashes: Column) -> Column:
     return F.get(F.aggregate(rounds, hashes, lambda level, _: F.when(F.size(level) > 1, pair(level)).otherwise(level)), 0)
 
 
+def merkle_proof(hashes: Column, at: Column) -> Column:
+    """The path from leaf ``at`` to the root: an array of (hash, left), from the leaf up; a level at which the node has no neighbour gives none."""
+    pairs = lambda level: F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(level) / 2).cast("int") - 1),
+        lambda i: F.when(F.get(level, i * 2 + 1).isNull(), F.get(level, i * 2)).otherwise(F.sha2(F.concat(F.get(level, i * 2), F.get(level, i * 2 + 1)).cast("binary"), 256)),
+    )
+    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.log2(F.greatest(F.size(hashes), F.lit(1)).cast("double"))).cast("int")))
+    start = F.struct(hashes.alias("level"), at.cast("int").alias("at"), F.array().cast("array<struct<hash:string,left:boolean>>").alias("path"))
+
+    def up(a: Column, _: Column) -> Column:
+        left = a["at"] % 2 == 1
+        other = F.get(a["level"], F.when(left, a["at"] - 1).otherwise(a["at"] + 1))
+        path = F.when(other.isNull(), a["path"]).otherwise(F.concat(a["path"], F.array(F.struct(other.alias("hash"), left.alias("left")))))
+        return F.struct(F.when(F.size(a["level"]) > 1, pairs(a["level"])).otherwise(a["level"]).alias("level"), F.floor(a["at"] / 2).cast("int").alias("at"), path.alias("path"))
+
+    return F.aggregate(rounds, start, up, lambda a: a["path"])
+
+
+def proven_root(leaf: Column, proof: Column) -> Column:
+    """The root that a leaf and its path lead to."""
+    return F.aggregate(proof, leaf, lambda h, x: F.sha2(F.when(x["left"], F.concat(x["hash"], h)).otherwise(F.concat(h, x["hash"])).cast("binary"), 256))
+
+
+def hash_groups(pages: DataFrame, key: str, width: int) -> DataFrame:
+    """Digests of groups of ``width`` page hashes (key, page_no, hash): key, group_no, pages, digest."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "hash"))), lambda x: x["hash"])
+    grouped = pages.groupBy(key, F.floor(F.col("page_no") / width).cast("int").alias("group_no")).agg(F.count(F.lit(1)).alias("pages"), ordered.alias("_h"))
+    return grouped.select(key, "group_no", "pages", F.sha2(F.array_join("_h", "").cast("binary"), 256).alias("digest"))
+
+
 def compression_policy(rows: DataFrame, content: Column, mode: str = "sample", samples: int = 4, least_bytes: int = 64, least_percent: int = 5) -> DataFrame:
     """``rows`` with ``compress``: whether evenly spaced samples save enough; never and always need no look."""
     if mode != "sample":

@@ -1,4 +1,4 @@
-"""Interval algebra over half-open [lo, hi): union, segments, coverage, fair shares and byte attribution.
+"""Interval algebra over half-open [lo, hi): union, segments and coverage.
 
 Every step is a window or an equi-join on the chunk, so work partitions by chunk. Distinct intervals are
 reduced to islands before anything is joined, and the containment join only meets islands of one chunk.
@@ -42,49 +42,9 @@ def coverage(islands: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     return joined.drop("lo", "hi").withColumnsRenamed({"s_lo": "lo", "s_hi": "hi"})
 
 
-def fair_shares(covered: DataFrame, key: str, group: str, owner: str) -> DataFrame:
-    """A segment's bytes, split evenly over groups and within a group over its owners."""
-    within, spot = Window.partitionBy(key, "lo", "hi", group), Window.partitionBy(key, "lo", "hi")
-    # one owner of every group stands for it; all windows use the partitioning by key that the coverage join left
-    marked = covered.withColumns({"_owners": F.count(F.lit(1)).over(within), "_lead": F.when(F.row_number().over(within.orderBy(owner)) == 1, 1)})
-    return marked.withColumn("share", (F.col("hi") - F.col("lo")) / F.count("_lead").over(spot) / F.col("_owners")).drop("_owners", "_lead")
-
-
-def attribute(shares: DataFrame, chunks: DataFrame, owner_cols: list[str]) -> DataFrame:
-    """Shares per chunk with the stored bytes they account for: share / raw bytes of the source * its stored bytes.
-
-    A chunk without a source is pending and attributes null.
-    """
-    per_chunk = shares.groupBy(*owner_cols, "chunk_id").agg(F.sum("share").alias("share"), F.sum(F.col("hi") - F.col("lo")).alias("unique_bytes"))
-    sourced = per_chunk.join(chunks.select("chunk_id", "source"), "chunk_id", "left")
-    # sums are partial before they are shuffled, so neither a large pack nor the pending chunks gather in a task
-    raw = sourced.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("share").alias("_raw"))
-    held = chunks.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("stored").alias("_held"))
-    return sourced.join(raw.join(held, "source"), "source", "left").withColumn("encoded", F.col("share") / F.col("_raw") * F.col("_held")).drop("_raw", "_held")
-
-
-def usage_of(attributed: DataFrame, logical: DataFrame, by: list[str]) -> DataFrame:
-    """Per scope: logical, unique, shared-out and encoded bytes, and the savings that make up their difference.
-
-    ``encoded_bytes`` and ``encoding_savings`` are null while any of the scope's bytes are pending.
-    """
-    sums = attributed.groupBy(*by).agg(
-        F.sum("unique_bytes").alias("unique_bytes"),
-        F.sum("share").alias("fair"),
-        F.coalesce(F.sum("encoded"), F.lit(0.0)).alias("encoded_known"),
-        F.coalesce(F.sum(F.when(F.col("encoded").isNull(), F.col("unique_bytes"))), F.lit(0)).cast("long").alias("pending_bytes"),
-        F.bool_and(F.col("encoded").isNotNull()).alias("complete"),
-    )
-    total = logical.groupBy(*by).agg(F.sum(F.col("hi") - F.col("lo")).alias("logical_bytes"))
-    r = F.round
-    return total.join(sums, by, "left").select(
-        *by,
-        "logical_bytes",
-        F.coalesce("unique_bytes", F.lit(0)).alias("unique_bytes"),
-        (F.col("logical_bytes") - F.coalesce("unique_bytes", F.lit(0))).alias("local_savings"),
-        r(F.col("unique_bytes") - F.col("fair"), 3).alias("shared_savings"),
-        r("encoded_known", 3).alias("encoded_known_bytes"),
-        F.when(F.coalesce("complete", F.lit(True)), r("encoded_known", 3)).alias("encoded_bytes"),
-        F.when(F.coalesce("complete", F.lit(True)), r(F.col("fair") - F.col("encoded_known"), 3)).alias("encoding_savings"),
-        F.coalesce("pending_bytes", F.lit(0)).alias("pending_bytes"),
-    )
+def covered_counts(islands: DataFrame, key: str, owner: str) -> DataFrame:
+    """By (owner, key): how many segments, and bytes, ``coverage`` finds in the owner's islands, from the ranks of their ends alone."""
+    ends = F.array(F.struct(F.col("lo").alias("point"), F.lit(-1).alias("turn")), F.struct(F.col("hi").alias("point"), F.lit(1).alias("turn")))
+    rows = islands.select(owner, key, F.inline(ends))
+    ranks = rows.select(key, "point").distinct().withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("point")))
+    return rows.join(ranks, [key, "point"]).groupBy(owner, key).agg(F.sum(F.col("turn") * F.col("rank")).alias("segments"), F.sum(F.col("turn") * F.col("point")).alias("bytes"))

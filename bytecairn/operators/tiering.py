@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def candidates(references: DataFrame, now: int, coverage_since: int, flushed: int, stale: int) -> DataFrame:
+def candidates(references: DataFrame, now: int, coverage_since: int, flushed: int, stale: int, units: DataFrame | None = None, most: int = 1024) -> DataFrame:
     """One reason per physical unit, the first that applies in a fixed order; ``eligible`` if none does.
 
+    ``units`` (physical) names units beyond those referred to. A unit without a reference, or with more than ``most``, is ``references_unconfirmed``.
+
     ``references`` has physical, stored_bytes, visible, ready, created, observed, last_read, state, cold_storage,
     cool_after, residency; a unit's strictest reference counts. A reference without policy (null cold_storage)
     is incompatible.
@@ -24,18 +26,22 @@ def candidates(references: DataFrame, now: int, coverage_since: int, flushed: in
         (F.bool_or(incompatible) | (F.min("cold_storage") != F.max("cold_storage"))).alias("_shared"),
         F.coalesce(F.max("cool_after"), F.lit(0)).alias("_cool"),
         F.coalesce(F.max("residency"), F.lit(0)).alias("_dwell"),
+        F.count(F.lit(1)).alias("_n"),
     )
+    if units is not None:
+        unit = units.select("physical").distinct().join(unit, "physical", "left")
     no_clock = coverage_since <= 0 or now - flushed > stale or flushed > now
     gap = F.lit(no_clock) | (F.col("_first") <= 0) | (now - F.col("observed") < F.col("_cool"))
     reason = (
-        F.when(F.col("_busy"), "source_busy")
+        F.when(F.col("_n").isNull() | (F.col("_n") > most), "references_unconfirmed")
+        .when(F.col("_busy"), "source_busy")
         .when(F.coalesce("_shared", F.lit(True)), "shared_policy")
         .when(gap, "observation_gap")
         .when(now - F.col("age") < F.greatest("_dwell", "_cool"), "minimum_residency")
         .when(F.col("last_read").isNotNull() & (now - F.col("last_read") < F.col("_cool")), "recent_read")
         .otherwise("eligible")
     )
-    return unit.select("physical", "stored_bytes", reason.alias("reason"))
+    return unit.select("physical", F.coalesce("stored_bytes", F.lit(0)).alias("stored_bytes"), reason.alias("reason"))
 
 
 def heat(units: DataFrame, unit_reads: DataFrame, member_reads: DataFrame) -> DataFrame:
@@ -54,9 +60,18 @@ def placement_usage(copies: DataFrame) -> DataFrame:
 
 
 def promotion_pressure(reads: DataFrame, window_seconds: int, threshold: int) -> DataFrame:
-    """Reads per unit within windows that begin with its first read after the last one expired (tumbling by unit)."""
-    from pyspark.sql import Window
+    """Per unit, the windows with at least ``threshold`` reads. A window begins at the first read after the one before has expired.
 
-    first = F.min("at_seconds").over(Window.partitionBy("physical"))
-    number = F.floor((F.col("at_seconds") - first) / window_seconds)
-    return reads.withColumn("_w", number).groupBy("physical", "_w").agg(F.count(F.lit(1)).alias("reads")).where(F.col("reads") >= threshold).groupBy("physical").agg(F.count(F.lit(1)).alias("hot_windows"), F.max("reads").alias("most"))
+    Reads of one second are counted first; a unit's seconds are then walked in order, so what is gathered of it is bounded by the time told of.
+    """
+    seconds = reads.groupBy("physical", "at_seconds").agg(F.count(F.lit(1)).alias("n"))
+    walked = seconds.groupBy("physical").agg(F.array_sort(F.collect_list(F.struct("at_seconds", "n"))).alias("s"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("long").alias("since"), zero.alias("n"), zero.alias("hot"), zero.alias("most"))
+    state = lambda since, n, hot, most: F.struct(since.alias("since"), n.alias("n"), hot.alias("hot"), most.alias("most"))
+    warm = lambda a: a["n"] >= threshold
+    hot, most = lambda a: a["hot"] + F.when(warm(a), 1).otherwise(0), lambda a: F.when(warm(a), F.greatest(a["most"], a["n"])).otherwise(a["most"])
+    goes_on = lambda a, x: F.coalesce(x["at_seconds"] < a["since"] + window_seconds, F.lit(False))
+    step = lambda a, x: F.when(goes_on(a, x), state(a["since"], a["n"] + x["n"], a["hot"], a["most"])).otherwise(state(x["at_seconds"], x["n"], hot(a), most(a)))
+    done = F.aggregate("s", start, step, lambda a: F.struct(hot(a).alias("hot_windows"), most(a).alias("most")))
+    return walked.select("physical", done.alias("_d")).select("physical", "_d.*").where("hot_windows > 0")

@@ -9,8 +9,19 @@ from bytecairn.sources import model as m
 from bytecairn.sources.model import sql, table
 
 
-def catalog_filter(rows, *, prefix=None, smallest=None, largest=None, since=None, until=None, after=None):
-    """Optional conditions on objects; ``after`` is the last key of the page before."""
+def catalog_filter(rows, *, prefix=None, exact=None, contains=None, category=None, public=None, smallest=None, largest=None, since=None, until=None, through=None, after=None):
+    """Optional conditions on objects. ``exact``, like a search, is taken behind the prefix; ``through`` includes its instant, ``until`` does not;
+    ``after`` is the last key of the page before. ``category`` and ``public`` need columns of these names."""
+    if exact is not None:
+        rows = rows.where(F.col("key") == (prefix or "") + exact)
+    if contains is not None:
+        rows = rows.where(fx.contains(F.col("key"), contains))
+    if category is not None:
+        rows = rows.where(F.col("category") == category)
+    if public is not None:
+        rows = rows.where(F.col("public") == F.lit(public))
+    if through is not None:
+        rows = rows.where(F.col("modified") <= F.lit(through).cast("timestamp_ntz"))
     if prefix is not None:
         rows = rows.where(F.col("key").startswith(prefix))
     if smallest is not None:
@@ -26,6 +37,34 @@ def catalog_filter(rows, *, prefix=None, smallest=None, largest=None, since=None
     return rows
 
 
+def catalog_filtered(spark, d):
+    """Three filtered pages in one: by prefix, size, time and visibility; by exact name; by search and category."""
+    rows = m.objects(spark, d).withColumns({"public": F.col("object_id") % 3 == 0, "category": F.col("state")})
+    first = rows.where(F.col("key").startswith("1-URGENT/O/")).agg(F.min("object_id").alias("first"))
+    ranged = catalog_filter(rows, prefix="2-HIGH/", smallest=100000, largest=300000, public=True, since="1996-01-01", through="1999-06-30")
+    named = rows.join(F.broadcast(first), F.col("key") == F.concat(F.lit("1-URGENT/O/"), F.col("first").cast("string")), "left_semi")
+    searched = catalog_filter(rows, contains="SPECI", category="P")
+    return ranged.unionAll(named).unionAll(searched).select("object_id", "key", "size").distinct()
+
+
+def json_containment(spark, d):
+    """Rows whose JSON has a key, and those of them in which it has a value."""
+    held = F.from_json("props", "map<string,bigint>")
+    rows = table(spark, d, "events").select("event_type", held.alias("held")).where(F.map_contains_key("held", "k"))
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("held")["k"] == 7).alias("sevens"))
+
+
+def residual_left_join(spark, d):
+    """Where extents are read from: an encoding of their own, else their place in a pack, else nowhere yet."""
+    c = m.chunks(spark, d)
+    own = c.where("kind = 'encoding' AND stored % 3 <> 0").select(F.col("chunk_id").alias("l_chunk"), F.col("stored").alias("own"))
+    members = c.where("kind = 'pack' OR (kind = 'encoding' AND chunk_id % 2 = 0)").select(F.col("chunk_id").alias("p_chunk"), F.col("stored").alias("packed"))
+    first = m.extents(spark, d).join(own, F.col("chunk_id") == F.col("l_chunk"), "left")
+    joined = first.join(members, F.col("l_chunk").isNull() & (F.col("chunk_id") == F.col("p_chunk")), "left")
+    source = F.when(F.col("own").isNotNull(), "chunk").when(F.col("packed").isNotNull(), "pack").otherwise("pending")
+    return joined.groupBy(source.alias("source")).agg(F.count(F.lit(1)).alias("extents"), F.coalesce(F.sum(F.coalesce("own", "packed")), F.lit(0)).alias("bytes"))
+
+
 def catalog_browse_name(spark, d):
     """A page by name: one row beyond the page says that there is more."""
     page = catalog_filter(m.objects(spark, d), prefix="1-URGENT/", smallest=50000, after="1-URGENT/F/1")
@@ -157,22 +196,18 @@ def wanted_probe(spark, d):
     return m.objects(spark, d).join(F.broadcast(wanted), ["bucket_id", "state"]).groupBy("bucket_id", "state").agg(F.count(F.lit(1)).alias("objects"), F.sum("size").alias("bytes"))
 
 
-def positions_join_whole(spark, d):
+def positions_join(spark, d):
     """Ordered parts of every request met with stored parts by position."""
     asked = m.extents(spark, d).groupBy("stream_id").agg(F.sort_array(F.collect_set("chunk_id")).alias("chunks"))
     placed = asked.select("stream_id", F.posexplode("chunks").alias("position", "chunk_id"))
     return placed.join(m.chunks(spark, d).select("chunk_id", "raw_size"), "chunk_id").where("position < raw_size / 100").select("stream_id", "position", "chunk_id")
 
 
-def positions_join(spark, d):
-    """The parts of every tenth request, as its SQL takes them."""
-    return positions_join_whole(spark, d).where("stream_id % 10 = 0")
-
-
 _KEY = "regexp_replace(url, '[?#].*$', '') || ['', '.PNG', '.mp4', '.ogg', '.zip', '.pdf', '.bin'][page_id % 7 + 1]"
 _MIME = "CASE WHEN page_id % 5 = 0 THEN 'text/html' WHEN page_id % 11 = 0 THEN 'video/mp4' ELSE 'application/octet-stream' END"
 _PATHS = "paths AS (SELECT DISTINCT rtrim(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/') AS path FROM pages)"
 
+POSITIONS = sql(", p AS (SELECT stream_id, chunk_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT stream_id, chunk_id FROM extents)) SELECT stream_id, position, chunk_id FROM p JOIN chunks USING (chunk_id) WHERE position < raw_size / 100.0", "extents", "chunks")
 QUERIES = {
     "catalog_browse_name": (catalog_browse_name, sql("SELECT key, size, object_id FROM objects WHERE starts_with(key, '1-URGENT/') AND size >= 50000 AND key > '1-URGENT/F/1' ORDER BY key LIMIT 51", "objects")),
     "catalog_browse_size": (catalog_browse_size, sql("SELECT key, size, object_id FROM objects WHERE size >= 1000 AND (size < 400000 OR (size = 400000 AND key > '2')) ORDER BY size DESC, key LIMIT 51", "objects")),
@@ -234,9 +269,16 @@ QUERIES = {
         wanted_probe,
         sql(", wanted AS (SELECT unnest(range(1, 40)) AS bucket_id) SELECT bucket_id, state, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM objects JOIN wanted USING (bucket_id) WHERE state IN ('F', 'O') GROUP BY bucket_id, state", "objects"),
     ),
-    "positions_join_whole": (positions_join_whole, None),
-    "positions_join": (
-        positions_join,
-        sql(", p AS (SELECT stream_id, chunk_id, CAST(row_number() OVER (PARTITION BY stream_id ORDER BY chunk_id) - 1 AS INTEGER) AS position FROM (SELECT DISTINCT stream_id, chunk_id FROM extents WHERE stream_id % 10 = 0)) SELECT stream_id, position, chunk_id FROM p JOIN chunks USING (chunk_id) WHERE position < raw_size / 100.0", "extents", "chunks"),
+    # one query under two names
+    "positions_join": (positions_join, POSITIONS),
+    "positions_join_whole": (positions_join, POSITIONS),
+    "catalog_filtered": (
+        catalog_filtered,
+        sql("SELECT object_id, key, size FROM objects WHERE (starts_with(key, '2-HIGH/') AND size BETWEEN 100000 AND 300000 AND object_id % 3 = 0 AND modified >= TIMESTAMP '1996-01-01' AND modified <= TIMESTAMP '1999-06-30') OR key = '1-URGENT/O/' || (SELECT min(object_id) FROM objects WHERE starts_with(key, '1-URGENT/O/')) OR (contains(lower(key), 'speci') AND state = 'P')", "objects"),
+    ),
+    "json_containment": (json_containment, "SELECT event_type, count(*) AS events, count(*) FILTER (WHERE CAST(json_extract(props, '$.k') AS BIGINT) = 7) AS sevens FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type"),
+    "residual_left_join": (
+        residual_left_join,
+        sql(", l AS (SELECT chunk_id, stored FROM chunks WHERE kind = 'encoding' AND stored % 3 <> 0), p AS (SELECT chunk_id, source, stored FROM chunks WHERE kind = 'pack' OR (kind = 'encoding' AND chunk_id % 2 = 0)), j AS (SELECT e.stream_id, l.stored AS own, p.stored AS packed FROM extents e LEFT JOIN l ON l.chunk_id = e.chunk_id LEFT JOIN p ON l.chunk_id IS NULL AND p.chunk_id = e.chunk_id) SELECT CASE WHEN own IS NOT NULL THEN 'chunk' WHEN packed IS NOT NULL THEN 'pack' ELSE 'pending' END AS source, count(*) AS extents, CAST(coalesce(sum(coalesce(own, packed)), 0) AS BIGINT) AS bytes FROM j GROUP BY 1", "extents", "chunks"),
     ),
 }

@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that hold queries: name to (function, SQL or None).
-GROUPS = ("usage", "browse", "history", "storage", "content", "streams")
+GROUPS = ("usage", "browse", "history", "storage", "content", "lifecycle", "streams")
 
 
 def _all() -> dict[str, tuple]:

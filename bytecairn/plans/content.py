@@ -31,7 +31,7 @@ def cdc_chunk_dedup(spark, d):
 
 def multipart_etag(spark, d):
     """ETags of texts uploaded in parts of 1000 characters."""
-    docs = table(spark, d, "documents").where("length(text) > 0")
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
     return docs.select("doc_id", fx.multipart_etag(ct.parts_of(F.col("text"), 1000)).alias("etag"))
 
 
@@ -45,18 +45,33 @@ def merkle_roots(spark, d):
     return hashed.groupBy("page_id").agg(ordered.alias("hashes")).select("page_id", F.size("hashes").cast("long").alias("leaves"), ct.merkle_root(F.col("hashes")).alias("root"))
 
 
-def range_digests_whole(spark, d):
+def page_groups(spark, d):
+    """Digests of groups of 256 page hashes, pages being 16 bytes at the scale of these texts."""
+    hashed = ct.pages_of(table(spark, d, "pages"), "page_id", F.col("html").cast("binary"), 16)
+    return ct.hash_groups(hashed, "page_id", 256)
+
+
+def merkle_proofs(spark, d):
+    """The root of every page, told from its last leaf and that leaf's proof alone."""
+    hashed = ct.pages_of(table(spark, d, "pages"), "page_id", F.col("html").cast("binary"), 1024)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_no", "hash"))), lambda x: x["hash"])
+    leaves = hashed.groupBy("page_id").agg(ordered.alias("hashes")).withColumn("at", F.size("hashes") - 1)
+    proven = leaves.select("page_id", F.size("hashes").cast("long").alias("leaves"), F.get("hashes", F.col("at")).alias("leaf"), ct.merkle_proof(F.col("hashes"), F.col("at")).alias("proof"))
+    return proven.select("page_id", "leaves", ct.proven_root(F.col("leaf"), F.col("proof")).alias("root"))
+
+
+def more_checksums(spark, d):
+    """CRC-32 and XXH64 (seed 42) of whole texts; SQL has neither, so it is tested against other libraries."""
+    return table(spark, d, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"), F.xxhash64("text").alias("xxh64"))
+
+
+def range_digests(spark, d):
     """Chained digests of the extents of every stream."""
     spans = m.extents(spark, d).groupBy("stream_id").agg(F.sort_array(F.collect_set(F.struct("lo", "hi", "chunk_id"))).alias("s"))
     parts = F.transform("s", lambda x: F.concat_ws(":", x["lo"].cast("string"), x["hi"].cast("string"), x["chunk_id"].cast("string")))
     return spans.select("stream_id", fx.range_digest(parts).alias("digest"))
 
 
-def range_digests(spark, d):
-    """The digests of every twentieth stream, as its SQL takes them."""
-    return range_digests_whole(spark, d).where("stream_id % 20 = 0")
-
-
 def checksums(spark, d):
     b = F.col("text").cast("binary")
     return table(spark, d, "documents").select("doc_id", F.md5(b).alias("md5"), F.sha1(b).alias("sha1"), F.sha2(b, 256).alias("sha256"), F.octet_length("text").cast("long").alias("bytes"))
@@ -122,6 +137,12 @@ def stripe_location(spark, d):
     return asked.select("object_id", (unit % 4).alias("slot"), (F.floor(unit / 4).cast("long") * 64 + F.col("byte") % 64).alias("offset"))
 
 
+MERKLE = (
+    "WITH RECURSIVE p AS (SELECT page_id, encode(html) AS c FROM pages WHERE octet_length(encode(html)) > 0), h AS (SELECT page_id, list(sha256(c[n * 1024 + 1 : n * 1024 + 1024]) ORDER BY n) AS l FROM (SELECT page_id, c, unnest(range(0, CAST(ceil(octet_length(c) / 1024.0) AS BIGINT))) AS n FROM p) GROUP BY page_id), "
+    "t AS (SELECT page_id, len(l) AS leaves, l FROM h UNION ALL SELECT page_id, leaves, list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN sha256(l[2 * i + 1] || l[2 * i + 2]) ELSE l[2 * i + 1] END) FROM t WHERE len(l) > 1) "
+    "SELECT page_id, leaves, l[1] AS root FROM t WHERE len(l) = 1"
+)
+RANGE_DIGESTS = sql(", s AS (SELECT stream_id, list(lo || ':' || hi || ':' || chunk_id ORDER BY lo, hi, chunk_id) AS parts FROM (SELECT DISTINCT stream_id, lo, hi, chunk_id FROM extents) GROUP BY stream_id) SELECT stream_id, list_reduce(list_prepend('', parts), lambda a, x: sha256(a || x)) AS digest FROM s", "extents")
 QUERIES = {
     "document_exact_dedup": (document_exact_dedup, "SELECT source, sha256(text) AS hash, octet_length(encode(text)) AS size, count(*) AS copies, min(doc_id) AS first FROM documents GROUP BY source, sha256(text), octet_length(encode(text)) HAVING count(*) > 1"),
     "fixed_block_dedup": (
@@ -131,23 +152,22 @@ QUERIES = {
     "cdc_chunk_dedup": (cdc_chunk_dedup, None),
     "multipart_etag": (
         multipart_etag,
-        "WITH p AS (SELECT doc_id, n, md5(substr(text, n * 1000 + 1, 1000)) AS h FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1000.0) AS BIGINT))) AS n FROM documents WHERE length(text) > 0)) SELECT doc_id, md5(unhex(string_agg(h, '' ORDER BY n))) || '-' || count(*) AS etag FROM p GROUP BY doc_id",
+        "WITH p AS (SELECT doc_id, n, md5(substr(text, n * 1000 + 1, 1000)) AS h FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 1000.0) AS BIGINT)))) AS n FROM documents WHERE text IS NOT NULL)) SELECT doc_id, md5(unhex(string_agg(h, '' ORDER BY n))) || '-' || count(*) AS etag FROM p GROUP BY doc_id",
     ),
     "page_hashes": (
         page_hashes,
         "WITH p AS (SELECT page_id, encode(html) AS c FROM pages), n AS (SELECT page_id, c, CAST(unnest(range(0, CAST(ceil(octet_length(c) / 4096.0) AS BIGINT))) AS INTEGER) AS page_no FROM p), s AS (SELECT page_id, page_no, c[page_no * 4096 + 1 : page_no * 4096 + 4096] AS part FROM n) SELECT page_id, page_no, sha256(part) AS hash, octet_length(part) AS bytes FROM s",
     ),
-    "merkle_roots": (
-        merkle_roots,
-        "WITH RECURSIVE p AS (SELECT page_id, encode(html) AS c FROM pages WHERE octet_length(encode(html)) > 0), h AS (SELECT page_id, list(sha256(c[n * 1024 + 1 : n * 1024 + 1024]) ORDER BY n) AS l FROM (SELECT page_id, c, unnest(range(0, CAST(ceil(octet_length(c) / 1024.0) AS BIGINT))) AS n FROM p) GROUP BY page_id), "
-        "t AS (SELECT page_id, len(l) AS leaves, l FROM h UNION ALL SELECT page_id, leaves, list_transform(range(0, (len(l) + 1) // 2), lambda i: CASE WHEN 2 * i + 2 <= len(l) THEN sha256(l[2 * i + 1] || l[2 * i + 2]) ELSE l[2 * i + 1] END) FROM t WHERE len(l) > 1) "
-        "SELECT page_id, leaves, l[1] AS root FROM t WHERE len(l) = 1",
-    ),
-    "range_digests_whole": (range_digests_whole, None),
-    "range_digests": (
-        range_digests,
-        sql(", s AS (SELECT stream_id, list(lo || ':' || hi || ':' || chunk_id ORDER BY lo, hi, chunk_id) AS parts FROM (SELECT DISTINCT stream_id, lo, hi, chunk_id FROM extents WHERE stream_id % 20 = 0) GROUP BY stream_id) SELECT stream_id, list_reduce(list_prepend('', parts), lambda a, x: sha256(a || x)) AS digest FROM s", "extents"),
+    "merkle_roots": (merkle_roots, MERKLE),
+    "merkle_proofs": (merkle_proofs, MERKLE),
+    "page_groups": (
+        page_groups,
+        "WITH p AS (SELECT page_id, encode(html) AS c FROM pages), n AS (SELECT page_id, c, unnest(range(0, CAST(ceil(octet_length(c) / 16.0) AS BIGINT))) AS i FROM p), h AS (SELECT page_id, i, sha256(c[i * 16 + 1 : i * 16 + 16]) AS hash FROM n) SELECT page_id, CAST(i // 256 AS INTEGER) AS group_no, count(*) AS pages, sha256(string_agg(hash, '' ORDER BY i)) AS digest FROM h GROUP BY page_id, i // 256",
     ),
+    "more_checksums": (more_checksums, None),
+    # one query under two names
+    "range_digests": (range_digests, RANGE_DIGESTS),
+    "range_digests_whole": (range_digests, RANGE_DIGESTS),
     "checksums": (checksums, "SELECT doc_id, md5(text) AS md5, sha1(text) AS sha1, sha256(text) AS sha256, octet_length(encode(text)) AS bytes FROM documents"),
     "compression_policy": (compression_policy, None),
     "integrity_gaps": (

@@ -28,16 +28,11 @@ LAST = ", last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY buck
 OLD = CUT_SQL + ", old AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bucket, key ORDER BY seq DESC) AS rn FROM changes WHERE seq <= (SELECT cut FROM cut)) WHERE rn = 1)"
 
 
-def versions_latest_flag_whole(spark, d):
+def versions_latest_flag(spark, d):
     """Every version of every key, with whether it is the latest."""
     return h.with_latest_flag(m.changes(spark, d), ["bucket", "key"]).select("bucket", "key", "seq", "op", "latest")
 
 
-def versions_latest_flag(spark, d):
-    """The versions of keys below 40, as its SQL takes them."""
-    return versions_latest_flag_whole(spark, d).where("key < 40")
-
-
 def as_of_state(spark, d):
     return h.live(_until(spark, d), ["bucket", "key"]).select("bucket", "key", "seq", "size")
 
@@ -69,9 +64,9 @@ ELSEWHERE = "CASE WHEN source_seq IS NOT NULL AND gone THEN 'missing' WHEN sourc
 
 
 def recovery_window_gaps(spark, d):
-    """Daily recovery points outside the gaps that errors of large value leave in a bucket's log."""
+    """Daily recovery points outside the gaps that large errors of one hour leave in a bucket's log."""
     c = m.changes(spark, d)
-    gaps = c.where("op = 'delete' AND size > 5000").groupBy("bucket", F.floor(F.col("key") / 25).alias("range")).agg(F.min("seq").alias("gap_from"), F.max("seq").alias("gap_to")).where("gap_to > gap_from AND range = 2").select(F.col("bucket").alias("gap_bucket"), "gap_from", "gap_to")
+    gaps = c.where("op = 'delete' AND size > 5000").groupBy("bucket", F.date_trunc("hour", "stamp").alias("range")).agg(F.min("seq").alias("gap_from"), F.max("seq").alias("gap_to")).where("gap_to > gap_from").select(F.col("bucket").alias("gap_bucket"), "gap_from", "gap_to")
     points = c.groupBy("bucket", F.date_trunc("day", "stamp").alias("day")).agg(F.max("seq").alias("point"))
     return h.outside_gaps(points, gaps, "point").groupBy("bucket").agg(F.count(F.lit(1)).alias("points"), F.max("point").alias("latest"))
 
@@ -97,6 +92,26 @@ def replay_catalog(spark, d):
     return h.replay(_generations(spark, d)).select("bucket", "key", "seq", "size")
 
 
+def replay_strict(spark, d):
+    """Per bucket of a journal with faults: the first change a strict reader refuses, and what is in the catalogue before it."""
+    rows, buckets = h.replay_strict(m.journal(spark, d))
+    kept = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("keys"), F.sum("size").alias("bytes"))
+    return buckets.join(kept, "bucket", "left").select("bucket", "failed_at", "reason", "paused", F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+STRICT = """, o AS (SELECT *, seq = 1 OR lag(seq) OVER b IS NOT DISTINCT FROM seq - 1 AS follows,
+  arg_max(CASE op WHEN 'start' THEN generation ELSE 0 END, seq) FILTER (WHERE op IN ('start', 'drop')) OVER p AS newest, max(seq) FILTER (WHERE op IN ('start', 'drop')) OVER p AS opened, max(seq) FILTER (WHERE op = 'ready') OVER p AS published
+  FROM journal WINDOW b AS (PARTITION BY bucket ORDER BY seq), p AS (PARTITION BY bucket ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, CASE WHEN NOT follows THEN 'sequence' WHEN op = 'start' AND generation <> coalesce(newest, 0) + 1 THEN 'generation' WHEN op <> 'start' AND coalesce(newest, 0) = 0 THEN 'baseline'
+  WHEN op <> 'start' AND generation <> newest THEN 'identity' WHEN op = 'ready' AND published > opened THEN 'published' END AS reason FROM o),
+v AS (SELECT bucket, min(seq) AS failed_at, arg_min(reason, seq) AS reason FROM f WHERE reason IS NOT NULL GROUP BY bucket),
+ok AS (SELECT j.* FROM journal j LEFT JOIN v USING (bucket) WHERE failed_at IS NULL OR seq < failed_at),
+z AS (SELECT bucket, arg_max(generation, seq) FILTER (WHERE op = 'ready') AS ready, max(seq) FILTER (WHERE op = 'ready') AS ready_at, coalesce(max(seq) FILTER (WHERE op = 'drop'), 0) AS dropped, coalesce(arg_max(op, seq) FILTER (WHERE op IN ('start', 'pause', 'resume', 'drop')) = 'pause', false) AS paused FROM ok GROUP BY bucket),
+k AS (SELECT ok.*, row_number() OVER (PARTITION BY ok.bucket, key ORDER BY seq DESC) AS rn FROM ok JOIN z USING (bucket) WHERE op IN ('put', 'delete') AND generation = ready AND ready_at > dropped AND seq > dropped),
+s AS (SELECT bucket, count(*) AS keys, sum(size) AS bytes FROM k WHERE rn = 1 AND op = 'put' GROUP BY bucket)
+SELECT bucket, failed_at, reason, coalesce(paused, false) AS paused, coalesce(keys, 0) AS keys, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes FROM (SELECT DISTINCT bucket FROM journal) LEFT JOIN v USING (bucket) LEFT JOIN z USING (bucket) LEFT JOIN s USING (bucket)"""
+
+
 def replay_sequence_check(spark, d):
     return h.sequence_gaps(m.changes(spark, d)).groupBy("bucket").agg(F.count(F.lit(1)).alias("gaps"), F.max(F.col("seq") - F.col("before")).alias("widest"))
 
@@ -192,17 +207,20 @@ def two_hop_links(spark, d):
     return both.union(far).where("a <> b").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("reach"), F.sum("b").cast("long").alias("total"))
 
 
+LATEST = sql("SELECT bucket, key, seq, op, seq = max(seq) OVER (PARTITION BY bucket, key) AS latest FROM changes", "changes")
 QUERIES = {
-    "versions_latest_flag_whole": (versions_latest_flag_whole, None),
-    "versions_latest_flag": (versions_latest_flag, sql("SELECT bucket, key, seq, op, seq = max(seq) OVER (PARTITION BY bucket, key) AS latest FROM changes WHERE key < 40", "changes")),
+    # one query under two names
+    "versions_latest_flag": (versions_latest_flag, LATEST),
+    "versions_latest_flag_whole": (versions_latest_flag, LATEST),
     "as_of_state": (as_of_state, sql(OLD + " SELECT bucket, key, seq, size FROM old WHERE op = 'put'", "changes")),
     "restore_plan": (restore_plan, sql(PLAN + f" SELECT bucket, key, source_seq, current_seq, {STATE} AS state FROM j", "changes")),
     "restore_plan_counts": (restore_plan_counts, sql(PLAN + f", u AS (SELECT 'in place' AS mode, {STATE} AS state FROM j UNION ALL SELECT 'elsewhere', {ELSEWHERE} FROM j) SELECT mode, state, count(*) AS keys FROM u WHERE state IS NOT NULL GROUP BY mode, state", "changes")),
     "recovery_window_gaps": (
         recovery_window_gaps,
-        sql(", gaps AS (SELECT bucket, min(seq) AS lo, max(seq) AS hi FROM changes WHERE op = 'delete' AND size > 5000 AND key // 25 = 2 GROUP BY bucket HAVING max(seq) > min(seq)), p AS (SELECT bucket, max(seq) AS point FROM changes GROUP BY bucket, date_trunc('day', stamp)) SELECT bucket, count(*) AS points, max(point) AS latest FROM p WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE g.bucket = p.bucket AND point > lo AND point < hi) GROUP BY bucket", "changes"),
+        sql(", gaps AS (SELECT bucket, min(seq) AS lo, max(seq) AS hi FROM changes WHERE op = 'delete' AND size > 5000 GROUP BY bucket, date_trunc('hour', stamp) HAVING max(seq) > min(seq)), p AS (SELECT bucket, max(seq) AS point FROM changes GROUP BY bucket, date_trunc('day', stamp)) SELECT bucket, count(*) AS points, max(point) AS latest FROM p WHERE NOT EXISTS (SELECT 1 FROM gaps g WHERE g.bucket = p.bucket AND point > lo AND point < hi) GROUP BY bucket", "changes"),
     ),
     "replay_catalog": (replay_catalog, sql(GENERATIONS + " SELECT bucket, key, seq, size FROM kept WHERE rn = 1 AND op = 'put'", "changes")),
+    "replay_strict": (replay_strict, sql(STRICT, "journal")),
     "replay_sequence_check": (replay_sequence_check, sql(", l AS (SELECT bucket, seq, lag(seq) OVER (PARTITION BY bucket ORDER BY seq) AS before FROM changes) SELECT bucket, count(*) AS gaps, max(seq - before) AS widest FROM l WHERE before IS NOT NULL AND seq <> before + 1 GROUP BY bucket", "changes")),
     "snapshot_plus_tail": (snapshot_plus_tail, sql(LAST + " SELECT bucket, key, seq, size FROM last WHERE op = 'put'", "changes")),
     "snapshot_deltas": (snapshot_deltas, sql(CUT_SQL + LAST + ", k AS (SELECT bucket, size, CASE WHEN seq > (SELECT cut FROM cut) THEN 'delta' WHEN op = 'delete' THEN 'tombstone' ELSE 'carried' END AS kind FROM last) SELECT bucket, kind, count(*) AS slots, CAST(sum(size) AS BIGINT) AS bytes FROM k GROUP BY bucket, kind", "changes")),

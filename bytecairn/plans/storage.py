@@ -109,17 +109,18 @@ def _references(spark, d):
 
 
 def tier_candidates(spark, d):
-    return tiering.candidates(_references(spark, d), NOW, 1, NOW - 60, 900)
+    """Of all chunks; more references than a unit may have, at these tables' scale, is forty."""
+    return tiering.candidates(_references(spark, d), NOW, 1, NOW - 60, 900, m.chunks(spark, d).select(F.col("chunk_id").alias("physical")), 40)
 
 
 CREATED = SECONDS_SQL.format("modified")
 TIER = f""", r AS (SELECT chunk_id AS physical, stored AS stored_bytes, bucket_id % 101 <> 0 AS visible, kind <> 'pending' AS ready, {CREATED} AS created, CASE WHEN chunk_id % 13 = 0 THEN 0 ELSE {CREATED} END AS observed,
 CASE WHEN lo > 60 THEN {CREATED} + {30 * DAY} END AS last_read, CASE WHEN chunk_id % 17 = 0 THEN 'paused' ELSE 'active' END AS state, CASE WHEN bucket_id % 97 <> 0 THEN chunk_id // 100 END AS cold, chunk_id % 4 * {3000 * DAY} AS cool, chunk_id % 3 * {3500 * DAY} AS dwell
 FROM extents JOIN objects ON stream_id = object_id JOIN chunks USING (chunk_id)),
-u AS (SELECT physical, max(stored_bytes) AS stored_bytes, max(last_read) AS last_read, max(created) AS age, greatest(max(observed), 1) AS observed, min(observed) AS first, bool_or(NOT ready OR NOT visible) AS busy,
+u AS (SELECT physical, count(*) AS n, max(stored_bytes) AS stored_bytes, max(last_read) AS last_read, max(created) AS age, greatest(max(observed), 1) AS observed, min(observed) AS first, bool_or(NOT ready OR NOT visible) AS busy,
 bool_or(cold IS NULL OR state <> 'active') OR coalesce(min(cold) <> max(cold), true) AS shared, max(cool) AS cool, max(dwell) AS dwell FROM r GROUP BY physical)
-SELECT physical, stored_bytes, CASE WHEN busy THEN 'source_busy' WHEN shared THEN 'shared_policy' WHEN first <= 0 OR {NOW} - observed < cool THEN 'observation_gap' WHEN {NOW} - age < greatest(dwell, cool) THEN 'minimum_residency'
-WHEN last_read IS NOT NULL AND {NOW} - last_read < cool THEN 'recent_read' ELSE 'eligible' END AS reason FROM u"""
+SELECT c.chunk_id AS physical, coalesce(u.stored_bytes, 0) AS stored_bytes, CASE WHEN n IS NULL OR n > 40 THEN 'references_unconfirmed' WHEN busy THEN 'source_busy' WHEN shared THEN 'shared_policy' WHEN first <= 0 OR {NOW} - observed < cool THEN 'observation_gap' WHEN {NOW} - age < greatest(dwell, cool) THEN 'minimum_residency'
+WHEN last_read IS NOT NULL AND {NOW} - last_read < cool THEN 'recent_read' ELSE 'eligible' END AS reason FROM chunks c LEFT JOIN u ON u.physical = c.chunk_id"""
 
 
 def tier_heat(spark, d):
@@ -194,10 +195,9 @@ def budgeted_batch(spark, d):
 
 
 def top_n_per_bucket_lateral(spark, d):
-    """The two largest objects of each bucket of one project."""
+    """The two largest objects of each bucket."""
     best = F.row_number().over(Window.partitionBy("bucket_id").orderBy(F.desc("size"), "object_id"))
-    chosen = m.buckets(spark, d).where("project_id = 7").select("bucket_id")
-    return m.objects(spark, d).join(chosen, "bucket_id", "left_semi").withColumn("rank", best).where("rank <= 2").select("bucket_id", "object_id", "size", "rank")
+    return m.objects(spark, d).join(m.buckets(spark, d).select("bucket_id"), "bucket_id", "left_semi").withColumn("rank", best).where("rank <= 2").select("bucket_id", "object_id", "size", "rank")
 
 
 def nonce_forecast(spark, d):
@@ -247,7 +247,11 @@ QUERIES = {
     ),
     "promotion_pressure": (
         promotion_pressure,
-        f"WITH r AS (SELECT user_id AS physical, {SECONDS_SQL.format('ts')} AS t FROM events WHERE event_type = 'view'), w AS (SELECT physical, (t - min(t) OVER (PARTITION BY physical)) // {2 * DAY} AS w FROM r), c AS (SELECT physical, w, count(*) AS reads FROM w GROUP BY physical, w HAVING count(*) >= 3) SELECT physical, count(*) AS hot_windows, max(reads) AS most FROM c GROUP BY physical",
+        f"WITH RECURSIVE r AS (SELECT user_id AS physical, {SECONDS_SQL.format('ts')} AS t, count(*) AS c FROM events WHERE event_type = 'view' GROUP BY ALL), "
+        f"x AS (SELECT *, min(t) OVER (PARTITION BY physical ORDER BY t RANGE BETWEEN {2 * DAY} FOLLOWING AND UNBOUNDED FOLLOWING) AS after FROM r), "
+        "w AS (SELECT physical, min(t) AS s FROM r GROUP BY physical UNION ALL SELECT w.physical, x.after FROM w JOIN x ON x.physical = w.physical AND x.t = w.s WHERE x.after IS NOT NULL), "
+        f"n AS (SELECT w.physical, w.s, sum(c) AS reads FROM w JOIN r ON r.physical = w.physical AND r.t >= w.s AND r.t < w.s + {2 * DAY} GROUP BY w.physical, w.s) "
+        "SELECT physical, count(*) AS hot_windows, CAST(max(reads) AS BIGINT) AS most FROM n WHERE reads >= 3 GROUP BY physical",
     ),
     "pack_layout": (pack_layout, sql("SELECT source, chunk_id, stored, CAST(sum(stored) OVER (PARTITION BY source ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) - stored + 8 AS BIGINT) AS offset FROM chunks WHERE kind = 'pack'".replace(" AS offset", ' AS "offset"'), "chunks")),
     "pack_first_fit": (
@@ -283,7 +287,7 @@ SELECT stream_id, chunk_id, CAST(chosen - 1 AS INTEGER) AS position, total - siz
     ),
     "top_n_per_bucket_lateral": (
         top_n_per_bucket_lateral,
-        sql(", r AS (SELECT bucket_id, object_id, size, CAST(row_number() OVER (PARTITION BY bucket_id ORDER BY size DESC, object_id) AS INTEGER) AS rank FROM objects JOIN buckets USING (bucket_id) WHERE project_id = 7) SELECT * FROM r WHERE rank <= 2", "objects", "buckets"),
+        sql(", r AS (SELECT bucket_id, object_id, size, CAST(row_number() OVER (PARTITION BY bucket_id ORDER BY size DESC, object_id) AS INTEGER) AS rank FROM objects JOIN buckets USING (bucket_id)) SELECT * FROM r WHERE rank <= 2", "objects", "buckets"),
     ),
     "nonce_forecast": (
         nonce_forecast,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from bytecairn.operators import intervals as iv
+from bytecairn.operators import usage as us
 from bytecairn.sources import model as m
 from bytecairn.sources.model import sql, table
 
@@ -66,64 +67,84 @@ def interval_segments(spark, d):
 
 
 def interval_coverage(spark, d):
+    """Segments, and their bytes, inside the islands of each bucket: by the ranks of an island's ends among its chunk's points, without a join of islands and segments."""
     islands = _islands(spark, d)
-    covered = iv.coverage(islands, iv.boundary_segments(islands, "chunk_id"), "chunk_id")
-    return covered.groupBy("bucket_id").agg(F.count(F.lit(1)).alias("segments"), F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
+    return iv.covered_counts(islands, "chunk_id", "bucket_id").groupBy("bucket_id").agg(F.sum("segments").alias("segments"), F.sum("bytes").alias("bytes"))
 
 
-def _shares(spark, d):
-    islands = _islands(spark, d)
-    covered = iv.coverage(islands, iv.boundary_segments(islands, "chunk_id"), "chunk_id")
-    owned = covered.join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
-    return iv.fair_shares(owned, "chunk_id", "project_id", "bucket_id")
+def _shared(spark, d):
+    """Islands with their project, the integrals of their chunks, and each bucket's share of each chunk."""
+    islands = _islands(spark, d).join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
+    integral = us.integrals(islands, "chunk_id", "project_id")
+    return integral, us.shares(islands, integral, "chunk_id", "project_id", "bucket_id")
 
 
 def fair_share_bytes(spark, d):
-    return _shares(spark, d).groupBy("project_id").agg(F.round(F.sum("share"), 3).alias("fair_bytes"), F.sum(F.col("hi") - F.col("lo")).alias("unique_bytes"), F.countDistinct("bucket_id").alias("buckets"))
-
-
-def _attributed(spark, d):
-    return iv.attribute(_shares(spark, d), m.chunks(spark, d), ["project_id", "bucket_id"])
+    _, shares = _shared(spark, d)
+    return shares.groupBy("project_id").agg(F.round(F.sum("share"), 3).alias("fair_bytes"), F.sum("unique_bytes").alias("unique_bytes"), F.countDistinct("bucket_id").alias("buckets"))
 
 
 def usage_summary(spark, d):
-    """Flagship: per bucket, from logical bytes to what they cost physically."""
-    logical = _used(spark, d).join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
-    return iv.usage_of(_attributed(spark, d), logical, ["project_id", "bucket_id"])
-
-
-ATTRIBUTED = (
-    SHARES
-    + """, per_chunk AS (SELECT project_id, bucket_id, chunk_id, sum(share) AS share, sum(hi - lo) AS unique_bytes FROM shares GROUP BY ALL),
-raw AS (SELECT source, sum(share) AS raw FROM shares JOIN chunks USING (chunk_id) WHERE source IS NOT NULL GROUP BY source),
-held AS (SELECT source, sum(stored) AS held FROM chunks WHERE source IS NOT NULL GROUP BY source),
-attributed AS (SELECT p.*, p.share / raw.raw * held.held AS encoded FROM per_chunk p LEFT JOIN chunks c USING (chunk_id) LEFT JOIN raw USING (source) LEFT JOIN held USING (source)),
-sums AS (SELECT project_id, bucket_id, sum(unique_bytes) AS unique_bytes, sum(share) AS fair, coalesce(sum(encoded), 0) AS known,
-  coalesce(sum(CASE WHEN encoded IS NULL THEN unique_bytes END), 0) AS pending, bool_and(encoded IS NOT NULL) AS complete FROM attributed GROUP BY project_id, bucket_id),
-total AS (SELECT project_id, bucket_id, sum(hi - lo) AS logical FROM used JOIN buckets USING (bucket_id) GROUP BY project_id, bucket_id)"""
-)
+    """Flagship: per bucket, project and the whole, from logical bytes to what they cost physically, raw sources included."""
+    integral, shares = _shared(spark, d)
+    chunks = m.chunks(spark, d).select("chunk_id", F.when(F.col("kind") == "encoding", "chunk").otherwise(F.col("kind")).alias("source_type"), "source", "stored")
+    rates = us.encoded_rates(integral, chunks)
+    raw = us.raw_shares(m.raw_references(spark, d))
+    streams = m.objects(spark, d).select(F.col("object_id").alias("stream_id"))
+    inventory = us.raw_inventory(m.raw_sources(spark, d), m.raw_ranges(spark, d), streams)
+    in_use = m.extents(spark, d).where("lo < hi").join(m.objects(spark, d), F.col("stream_id") == F.col("object_id"), "left_semi").select("chunk_id").distinct()
+    whole = us.bridge(m.physical(spark, d), chunks.join(in_use, "chunk_id", "left_semi"), inventory)
+    rows = us.scope_rows(shares, integral, "chunk_id", "project_id", "bucket_id")
+    return us.summary(us.logical_scopes(m.buckets(spark, d), m.quotas(spark, d)), rows, rates, us.raw_scopes(raw), whole)
+
+
+RAW = """, raw_projects AS (SELECT source_id, count(DISTINCT project_id) AS n FROM raw_references GROUP BY source_id),
+raw_shared AS (SELECT r.*, size / CAST(n AS DOUBLE) / count(*) OVER (PARTITION BY source_id, project_id) AS attributed FROM raw_references r JOIN raw_projects USING (source_id))"""
 USAGE_SUMMARY = (
-    ATTRIBUTED
-    + """ SELECT project_id, bucket_id, CAST(logical AS BIGINT) AS logical_bytes, CAST(coalesce(unique_bytes, 0) AS BIGINT) AS unique_bytes,
-CAST(logical - coalesce(unique_bytes, 0) AS BIGINT) AS local_savings, round(unique_bytes - fair, 3) AS shared_savings, round(known, 3) AS encoded_known_bytes,
-CASE WHEN coalesce(complete, true) THEN round(known, 3) END AS encoded_bytes, CASE WHEN coalesce(complete, true) THEN round(fair - known, 3) END AS encoding_savings,
-CAST(coalesce(pending, 0) AS BIGINT) AS pending_bytes FROM total LEFT JOIN sums USING (project_id, bucket_id)"""
+    SHARES
+    + RAW
+    + """, alloc AS (SELECT project_id, bucket_id, chunk_id, sum(share) AS share, sum(hi - lo) AS uniq FROM shares GROUP BY ALL),
+by_scope AS (SELECT 'bucket' AS scope, CAST(bucket_id AS VARCHAR) AS scope_id, chunk_id, uniq, share FROM alloc
+  UNION ALL SELECT 'project', CAST(project_id AS VARCHAR), chunk_id, u.uniq, a.share FROM (SELECT project_id, chunk_id, sum(hi - lo) AS uniq FROM (SELECT DISTINCT project_id, chunk_id, lo, hi FROM shares) GROUP BY ALL) u JOIN (SELECT project_id, chunk_id, sum(share) AS share FROM alloc GROUP BY ALL) a USING (project_id, chunk_id)
+  UNION ALL SELECT 'global', NULL, chunk_id, sum(hi - lo), sum(hi - lo) FROM (SELECT DISTINCT chunk_id, lo, hi FROM shares) GROUP BY chunk_id),
+held AS (SELECT chunk_id, CASE kind WHEN 'encoding' THEN 'chunk' ELSE kind END AS source_type, source, stored FROM chunks),
+union_bytes AS (SELECT chunk_id, uniq FROM by_scope WHERE scope = 'global'),
+rates AS (SELECT source_type, source, sum(stored) / CAST(sum(uniq) AS DOUBLE) AS rate FROM held LEFT JOIN union_bytes USING (chunk_id) WHERE source IS NOT NULL GROUP BY ALL),
+sums AS (SELECT scope, scope_id, count(*) AS chunks, count(DISTINCT CASE WHEN source_type = 'pack' THEN source END) AS packs, sum(uniq) AS uniq, sum(share) AS share, sum(share * rate) AS encoded, bool_and(rate IS NOT NULL) AS complete,
+  sum(CASE WHEN source_type = 'pack' THEN uniq ELSE 0 END) AS packed, sum(CASE WHEN rate IS NULL THEN uniq ELSE 0 END) AS pending
+  FROM by_scope JOIN held USING (chunk_id) LEFT JOIN rates USING (source_type, source) GROUP BY ALL),
+raw_each AS (SELECT scope, scope_id, source_id, max(size) AS size, sum(attributed) AS attributed FROM (
+  SELECT 'bucket' AS scope, CAST(bucket_id AS VARCHAR) AS scope_id, source_id, size, attributed FROM raw_shared UNION ALL SELECT 'project', CAST(project_id AS VARCHAR), source_id, size, attributed FROM raw_shared UNION ALL SELECT 'global', NULL, source_id, size, attributed FROM raw_shared) GROUP BY ALL),
+raw_scoped AS (SELECT scope, scope_id, sum(size) AS uniq, sum(attributed) AS attributed FROM raw_each GROUP BY ALL),
+logical AS (SELECT CASE WHEN grouping(bucket_id) = 0 THEN 'bucket' WHEN grouping(project_id) = 0 THEN 'project' ELSE 'global' END AS scope, CAST(coalesce(bucket_id, project_id) AS VARCHAR) AS scope_id, count(*) AS buckets, coalesce(sum(object_count), 0) AS objects, coalesce(sum(used_bytes), 0) AS bytes
+  FROM buckets LEFT JOIN quotas USING (bucket_id) GROUP BY GROUPING SETS ((bucket_id), (project_id), ())),
+units AS (SELECT p.*, EXISTS (SELECT 1 FROM held h JOIN union_bytes USING (chunk_id) WHERE h.source_type = p.source_type AND h.source = p.source) AS in_use, state IN ('ready', 'retired', 'deleting') AS there FROM physical p),
+raws AS (SELECT r.*, EXISTS (SELECT 1 FROM raw_ranges e JOIN objects o ON o.object_id = e.stream_id WHERE e.source_id = r.source_id) AS selected, owner_stream IS NULL AND NOT EXISTS (SELECT 1 FROM raw_ranges e WHERE e.source_id = r.source_id) AS garbage FROM raw_sources r),
+u AS (SELECT coalesce(sum(stored) FILTER (WHERE there), 0) AS i, coalesce(sum(stored) FILTER (WHERE in_use), 0) AS s, coalesce(sum(stored) FILTER (WHERE NOT in_use AND there AND NOT garbage), 0) AS r, coalesce(sum(stored) FILTER (WHERE NOT in_use AND garbage), 0) AS g,
+  coalesce(sum(stored) FILTER (WHERE state IN ('preparing', 'uploading')), 0) AS w, count(*) FILTER (WHERE there AND source_type = 'chunk') AS chunk_objects, count(*) FILTER (WHERE there AND source_type = 'pack') AS pack_objects FROM units),
+v AS (SELECT coalesce(sum(size) FILTER (WHERE state <> 'writing'), 0) AS i, coalesce(sum(size) FILTER (WHERE selected), 0) AS s, coalesce(sum(size) FILTER (WHERE NOT selected AND NOT garbage AND state <> 'writing'), 0) AS r, coalesce(sum(size) FILTER (WHERE NOT selected AND garbage), 0) AS g,
+  coalesce(sum(size) FILTER (WHERE state = 'writing'), 0) AS w, count(*) AS raw_objects FROM raws),
+whole AS (SELECT CAST(u.i + v.i AS BIGINT) AS indexed_bytes, CAST(u.s + v.s AS BIGINT) AS selected_bytes, CAST(u.r + v.r AS BIGINT) AS retained_bytes, CAST(u.g + v.g AS BIGINT) AS gc_bytes, CAST(u.w + v.w AS BIGINT) AS unconfirmed_bytes, chunk_objects, raw_objects, pack_objects FROM u, v),
+n AS (SELECT l.*, s.chunks, s.packs, s.packed, s.pending, coalesce(s.complete, true) AS complete, coalesce(s.uniq, 0) + coalesce(r.uniq, 0) AS uniq, coalesce(s.share, 0) + coalesce(r.attributed, 0) AS attributed, coalesce(s.encoded, 0) + coalesce(r.attributed, 0) AS known
+  FROM logical l LEFT JOIN sums s ON s.scope = l.scope AND s.scope_id IS NOT DISTINCT FROM l.scope_id LEFT JOIN raw_scoped r ON r.scope = l.scope AND r.scope_id IS NOT DISTINCT FROM l.scope_id)"""
 )
+USAGE_ROWS = """ SELECT scope, scope_id, buckets, CAST(objects AS BIGINT) AS objects, CAST(bytes AS BIGINT) AS logical_bytes, CAST(uniq AS BIGINT) AS unique_bytes, round(attributed, 6) AS attributed_raw_bytes, CASE WHEN complete THEN round(known, 6) END AS encoded_bytes,
+round(known, 6) AS encoded_known_bytes, CAST(bytes - uniq AS BIGINT) AS local_savings, round(uniq - attributed, 6) AS shared_savings, CASE WHEN complete THEN round(attributed - known, 6) END AS encoding_savings, coalesce(chunks, 0) AS chunks, coalesce(packs, 0) AS packs,
+CAST(coalesce(packed, 0) AS BIGINT) AS packed_bytes, CAST(coalesce(pending, 0) AS BIGINT) AS pending_bytes, indexed_bytes, selected_bytes, retained_bytes, gc_bytes, unconfirmed_bytes, chunk_objects, raw_objects, pack_objects
+FROM n LEFT JOIN whole ON scope = 'global'"""
+SUMMARY_VIEWS = ("objects", "extents", "buckets", "chunks", "used", "raw_sources", "raw_ranges", "raw_references", "quotas", "physical")
 
 
 def conservation_check(spark, d):
-    """Logical less encoded is local dedup plus sharing plus encoding savings, for every complete scope."""
-    u = usage_summary(spark, d).where(F.col("encoded_bytes").isNotNull())
-    gap = F.abs((F.col("logical_bytes") - F.col("encoded_bytes")) - (F.col("local_savings") + F.col("shared_savings") + F.col("encoding_savings")))
-    return u.agg(F.count(F.lit(1)).alias("scopes"), F.count(F.when(gap > 0.01, 1)).alias("broken"))
+    """Logical less encoded is local dedup plus sharing plus encoding savings, for every complete scope; and what is indexed is selected, retained or garbage."""
+    u = usage_summary(spark, d)
+    complete, bridged = F.col("encoded_bytes").isNotNull(), F.col("selected_bytes") + F.col("retained_bytes") + F.col("gc_bytes") == F.col("indexed_bytes")
+    return u.agg(F.count_if(complete).alias("scopes"), F.count_if(complete & ~us.conserved(u)).alias("broken"), F.count_if(~bridged).alias("unbridged"))
 
 
 def raw_shared_attribution(spark, d):
-    """Raw sources used by several streams: each source's largest use, split over the buckets that use it."""
-    uses = m.extents(spark, d).join(m.objects(spark, d).select("object_id", "bucket_id"), F.col("stream_id") == F.col("object_id"))
-    largest = uses.groupBy("source_id", "bucket_id").agg(F.max(F.col("hi") - F.col("lo")).alias("bytes"))
-    users = F.count(F.lit(1)).over(Window.partitionBy("source_id"))
-    return largest.withColumn("share", F.col("bytes") / users).groupBy("bucket_id").agg(F.round(F.sum("share"), 3).alias("raw_share"), F.count(F.lit(1)).alias("sources"))
+    """Raw sources by bucket: a source's size is split over the projects that use it, then over a project's buckets, so shares add up to the sizes."""
+    return us.raw_shares(m.raw_references(spark, d)).groupBy("bucket_id").agg(F.round(F.sum("attributed"), 6).alias("raw_share"), F.sum("size").alias("used_bytes"), F.count(F.lit(1)).alias("sources"))
 
 
 def inventory_live(spark, d):
@@ -242,14 +263,18 @@ QUERIES = {
     "interval_segments": (interval_segments, sql(SEGMENTS + " SELECT * FROM segments", "objects", "extents", "used")),
     "interval_coverage": (interval_coverage, sql(COVERED + " SELECT bucket_id, count(*) AS segments, CAST(sum(hi - lo) AS BIGINT) AS bytes FROM covered GROUP BY bucket_id", "objects", "extents", "used")),
     "fair_share_bytes": (fair_share_bytes, sql(SHARES + " SELECT project_id, round(sum(share), 3) AS fair_bytes, CAST(sum(hi - lo) AS BIGINT) AS unique_bytes, count(DISTINCT bucket_id) AS buckets FROM shares GROUP BY project_id", *USAGE_VIEWS)),
-    "usage_summary": (usage_summary, sql(USAGE_SUMMARY, *USAGE_VIEWS)),
+    "usage_summary": (usage_summary, sql(USAGE_SUMMARY + USAGE_ROWS, *SUMMARY_VIEWS)),
     "conservation_check": (
         conservation_check,
-        sql(ATTRIBUTED + " SELECT count(*) AS scopes, count(*) FILTER (WHERE abs((logical - known) - ((logical - unique_bytes) + (unique_bytes - fair) + (fair - known))) > 0.01) AS broken FROM total JOIN sums USING (project_id, bucket_id) WHERE complete", *USAGE_VIEWS),
+        sql(
+            USAGE_SUMMARY
+            + " SELECT count(*) FILTER (WHERE complete) AS scopes, count(*) FILTER (WHERE complete AND abs((bytes - known) - ((bytes - uniq) + (uniq - attributed) + (attributed - known))) > 0.00001) AS broken, (SELECT count(*) FROM whole WHERE selected_bytes + retained_bytes + gc_bytes <> indexed_bytes) AS unbridged FROM n",
+            *SUMMARY_VIEWS,
+        ),
     ),
     "raw_shared_attribution": (
         raw_shared_attribution,
-        sql(", largest AS (SELECT source_id, bucket_id, max(hi - lo) AS bytes FROM extents JOIN objects ON stream_id = object_id GROUP BY source_id, bucket_id), s AS (SELECT bucket_id, bytes / CAST(count(*) OVER (PARTITION BY source_id) AS DOUBLE) AS share FROM largest) SELECT bucket_id, round(sum(share), 3) AS raw_share, count(*) AS sources FROM s GROUP BY bucket_id", "objects", "extents"),
+        sql(RAW + " SELECT bucket_id, round(sum(attributed), 6) AS raw_share, CAST(sum(size) AS BIGINT) AS used_bytes, count(*) AS sources FROM raw_shared GROUP BY bucket_id", "objects", "buckets", "raw_sources", "raw_ranges", "raw_references"),
     ),
     "inventory_live": (
         inventory_live,

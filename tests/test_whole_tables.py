@@ -1,4 +1,4 @@
-"""Queries over whole tables, which have no SQL, against brute force."""
+"""Queries over whole tables against brute force."""
 
 import hashlib
 from collections import defaultdict
