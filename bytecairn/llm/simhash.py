@@ -3,7 +3,7 @@
 Fingerprints of word shingles link when few enough of their bits differ. A fingerprint is cut into segments, and
 every fingerprint is indexed under each segment with each one bit left out: two of them meet under a segment in which at most
 one bit differs. Equal signatures meet in one sorted partition, where every candidate is verified by its Hamming
-distance over the whole fingerprint. Small signature groups are compared outright; in large ones a leader links
+distance over the whole fingerprint. Small signature groups are compared outright; in large and dense ones a leader links
 its neighbourhood, and two clusters are compared only where their leaders' distance leaves room for a link, so a
 group of n near copies costs about n and yields n - 1 links. Every component of links survives; copies are not
 expanded into pairs. Components come from alternating large-star and small-star steps.
@@ -57,6 +57,8 @@ class Scheme:
 
 EXACT = Scheme(1, ((0, 21), (21, 21), (42, 22)), 4, 32)
 NEAR = Scheme(2, tuple((16 * k, 16) for k in range(8)), 26, 512)
+#: A group of more members than this that has over two pairs a member is spanned from leaders instead of compared outright.
+DENSE = 16
 #: Ids that lose a row are joined by broadcast up to this many (some 20 bytes each), by shuffle beyond it.
 BROADCAST_IDS = 1_000_000
 #: Shingle of the pipeline's stage.
@@ -140,19 +142,25 @@ def _first_shared_bit(x: np.ndarray, scheme: Scheme) -> np.ndarray:
 Links = list[tuple[np.ndarray, np.ndarray]]
 
 
-def _links_of_small(bit: np.ndarray, group: np.ndarray, fp: np.ndarray, scheme: Scheme) -> Links:
-    """All verified pairs within groups, each under its first shared signature only."""
-    out = []
+def _links_of_small(bit: np.ndarray, group: np.ndarray, fp: np.ndarray, scheme: Scheme) -> tuple[Links, np.ndarray]:
+    """All verified pairs within groups, each under its first shared signature only; and the groups that are left out, since they have far more pairs than members."""
+    first, second = [], []
     for d in range(1, scheme.small):
         same = np.flatnonzero(group[d:] == group[:-d])
         if not len(same):
             break
-        x = fp[same] ^ fp[same + d]
-        ok = np.flatnonzero(_distance(x) <= scheme.distance)
-        same = same[ok]
-        same = same[_first_shared_bit(x[ok], scheme) == bit[same]]
-        out.append((fp[same], fp[same + d]))
-    return out
+        same = same[_distance(fp[same] ^ fp[same + d]) <= scheme.distance]
+        first.append(same)
+        second.append(same + d)
+    if not first:
+        return [], np.zeros(0, np.int64)
+    a, b = np.concatenate(first), np.concatenate(second)
+    size, pairs = np.bincount(group), np.bincount(group[a], minlength=int(group.max()) + 1)
+    dense = (size > DENSE) & (pairs > 2 * size)
+    kept = ~dense[group[a]]
+    a, b = a[kept], b[kept]
+    own = _first_shared_bit(fp[a] ^ fp[b], scheme) == bit[a]
+    return [(fp[a[own]], fp[b[own]])], np.flatnonzero(dense)
 
 
 def _links_of_large(fp: np.ndarray, scheme: Scheme = EXACT) -> Links:
@@ -211,9 +219,12 @@ def link_pairs(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
         sizes = np.diff(np.append(starts, len(fp)))
         group = np.repeat(np.arange(len(starts)), sizes)
         small = np.repeat((sizes > 1) & (sizes <= scheme.small), sizes)
-        found = _links_of_small(bit[small], group[small], fp[small], scheme)
-        for g in np.flatnonzero(sizes > scheme.small):
-            found += _links_of_large(fp[starts[g] : starts[g] + sizes[g]], scheme)
+        found, dense = _links_of_small(bit[small], group[small], fp[small], scheme)
+        for g in [*np.flatnonzero(sizes > scheme.small), *dense]:
+            # a link that a lower bit's group has too is left to that: there its ends are connected
+            for a, b in _links_of_large(fp[starts[g] : starts[g] + sizes[g]], scheme):
+                own = _first_shared_bit(a ^ b, scheme) == bit[starts[g]]
+                found.append((a[own], b[own]))
         for a, b in found:
             if len(a):
                 both = np.hstack([a, b]).view(np.int64)
@@ -245,9 +256,9 @@ def link_pairs(distinct: DataFrame, scheme: Scheme = EXACT) -> DataFrame:
 
 
 def _node(scheme: Scheme, prefix: str) -> Column:
-    """A fingerprint as one value: the long itself, or the hexadecimal digits of several."""
+    """A fingerprint as one value: the long itself, or a hash of several (of a billion fingerprints two share one with a chance of 3 %)."""
     words = _columns(scheme, prefix)
-    return F.col(words[0]) if scheme.words == 1 else F.concat(*[F.lpad(F.lower(F.hex(c)), 16, "0") for c in words])
+    return F.col(words[0]) if scheme.words == 1 else F.xxhash64(*words)
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
