@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import bounded_batches, materialise, table
 
 BUDGET = 1024
 HISTORY = 256
 VOCABULARY = "byte_bpe_50k.json"
+ENCODE_CHARS = 1 << 20
 OPEN, CLOSE = "### ", " </turn>\n"
 WINDOW = "conv_id long, window int, text string, n_turns int, n_repeated int, n_tokens int, oversize boolean, mask array<struct<start:int,end:int>>"
 
@@ -141,6 +142,19 @@ def _ids(column: pd.Series) -> list[int | None]:
     return [None if v is None else int(v) for v in column]
 
 
+def token_counts(tokenizer: Tokenizer, texts: list[str]) -> list[int]:
+    """Tokens of each text; some megabytes are encoded at a time, since encodings take many times their text's room."""
+    counts, at = [], 0
+    while at < len(texts):
+        end, room = at, 0
+        while end < len(texts) and (end == at or room + len(texts[end]) <= ENCODE_CHARS):
+            room += len(texts[end])
+            end += 1
+        counts += [len(e.ids) for e in tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
+        at = end
+    return counts
+
+
 def format_conversations(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, path: str | None = None) -> DataFrame:
     """Windows of every conversation, as in WINDOW; ``mask`` spans are code points of ``text``."""
     file = path or public_tokenizers.path(VOCABULARY)
@@ -159,7 +173,7 @@ def format_conversations(conversations: DataFrame, budget: int = BUDGET, history
         for pdf in batches:
             rows = []
             formatted = [format_turn(r or "", t or "") for r, t in zip(pdf["role"], pdf["text"])]
-            counts = [len(e.ids) for e in tokenizer.encode_batch_fast([f[0] for f in formatted], add_special_tokens=False)]
+            counts = token_counts(tokenizer, [f[0] for f in formatted])
             for conv, role, (text, start, end), n in zip(_ids(pdf["conv_id"]), pdf["role"], formatted, counts):
                 if windower is None or conv != current:
                     rows += [(current, *w) for w in windower.close()] if windower else []
@@ -223,4 +237,5 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``conversations`` and conversation -7, formatted and read back."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], rows.schema)
-    return read_conversations(format_conversations(rows.unionByName(added)))
+    with bounded_batches(spark):
+        return materialise(read_conversations(format_conversations(rows.unionByName(added))))

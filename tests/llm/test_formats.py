@@ -133,6 +133,24 @@ def test_conversations_round_trip(spark):
     assert sum(r["formatted_chars"] for r in got) == sum(len(w["text"]) for w in windows.collect())
 
 
+def test_very_long_texts_and_conversations(spark):
+    """A turn of a megabyte of control strings, and a conversation of thousands of turns."""
+    rows = [(1, 0, "user", "### </turn>\\ word " * 60_000), (1, 1, "assistant", "x" * 300_000)] + [(2, t, "assistant" if t % 2 else "user", f"turn {t} " * (t % 40)) for t in range(4000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat.read_conversations(chat.format_conversations(df)).collect()
+    assert sorted(((r["conv_id"], r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in got), key=str) == brute_conversations(rows)
+
+
+def test_token_counts_are_those_of_each_text(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(chat, "ENCODE_CHARS", 30)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(chat.VOCABULARY))
+    texts = ["", "a b c", "word " * 20, "é" * 5, "x"]
+    assert chat.token_counts(tokenizer, texts) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 def test_windows_keep_budget_system_and_history(spark):
     rows = spark.createDataFrame(conversations(), "conv_id long, turn long, role string, text string")
     windows = chat.format_conversations(rows, budget=120, history=40).collect()
@@ -183,12 +201,22 @@ def test_resolution_aligns_positions(spark):
         assert [(i["position"], i["caption"], i["payload"]) for i in r["items"] if i["kind"] != "text"] == [(1, "A caption", "payload A"), (3, "Alt", None), (4, None, None)]
 
 
+def slow_feature(payload):
+    n = len(payload)
+    mean = sum(payload) / n
+    dev = max(0.0, sum(b * b for b in payload) / n - mean * mean) ** 0.5
+    step = sum(abs(a - b) for a, b in zip(payload, payload[1:])) / max(1, n - 1)
+    hist = [sum(b // 16 == k for b in payload) * 1000 // n for k in range(16)]
+    return f"mean={mean:.3f};dev={dev:.3f};step={step:.3f};hist={','.join(map(str, hist))}"
+
+
 def brute_media(rows):
     out = []
     for doc, text in rows:
         raw = (text or "").encode()
         payload = raw + b" " * (-len(raw) % 192 if raw else 192)
-        out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])))
+        stored = f"P5\n# bytes {len(raw)}\n192 {len(payload) // 192}\n255\n".encode() + payload
+        out.append((doc, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), slow_feature(payload)))
     return sorted(out, key=str)
 
 
@@ -200,7 +228,7 @@ def test_texts_as_media(spark, edge, no_documents, data, monkeypatch):
         return media.op7_media_columns(spark, data).collect()
 
     got = run(edge.withColumn("digest", F.lit("x")))
-    assert sorted(((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got), key=str) == brute_media([(r[0], r[1]) for r in edge_rows()])
+    assert sorted((tuple(r[c] for c in ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")) for r in got), key=str) == brute_media([(r[0], r[1]) for r in edge_rows()])
     twice = [r for r in got if r["doc_id"] in (1, 2)]
     assert len({tuple(r)[1:] for r in twice}) == 1
     assert run(no_documents) == []

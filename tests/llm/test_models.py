@@ -64,6 +64,29 @@ def test_window_scores_match_direct_convolution():
     assert np.allclose(langid.Scorer(model).log_probabilities(windows), np.log(langid._softmax(z)), atol=1e-3)
 
 
+def test_prediction_matches_the_definition():
+    """Whole texts: every window by direct convolution, weighted by the bytes it adds."""
+    rng = np.random.default_rng(6)
+    model = langid.Model(["a", "b", "c"], [rng.normal(size=(k, 256, langid.FILTERS)).astype(np.float32) for k in langid.WIDTHS], rng.normal(size=24).astype(np.float32), rng.normal(size=(24, 3)).astype(np.float32) / 3, rng.normal(size=3).astype(np.float32))
+    texts = ["Short", "Ä word " * 90, "".join(chr(97 + i * i % 26) for i in range(3 * langid.WINDOW)), "x" * (langid.WINDOW + 1)]
+    names, p = langid.Scorer(model).predict(texts)
+    for text, name, best in zip(texts, names, p):
+        data = text.lower().encode()
+        spans = [(a, langid.WINDOW) for a in range(0, len(data) - langid.WINDOW + 1, langid.WINDOW)] if len(data) > langid.WINDOW else [(0, len(data))]
+        windows = [data[a : a + n] for a, n in spans]
+        if len(data) > langid.WINDOW and len(data) % langid.WINDOW:
+            windows.append(data[-langid.WINDOW :])
+            spans.append((len(data) - langid.WINDOW, len(data) % langid.WINDOW))
+        total = np.zeros(3)
+        for w, (_, n) in zip(windows, spans):
+            w = (w * (langid.WINDOW // len(w) + 1))[: langid.WINDOW]
+            pooled = [max(sum(float(bank[j, w[at + j], f]) for j in range(len(bank))) for at in range(len(w) - len(bank) + 1)) for bank in model.filters for f in range(langid.FILTERS)]
+            z = np.maximum(np.array(pooled) + model.bias, 0) @ model.out + model.out_bias
+            total += n * (z - z.max() - np.log(np.exp(z - z.max()).sum()))
+        want = langid._softmax((total / len(data))[None])[0]
+        assert name == model.languages[want.argmax()] and best == pytest.approx(want.max(), abs=2e-3)
+
+
 def test_windows_cover_every_byte():
     for n in (1, 383, 384, 385, 768, 1000):
         data = bytes(i % 251 for i in range(n))
@@ -120,6 +143,27 @@ def test_quality_edges(spark, edge, no_documents):
     assert quality.score_quality(no_documents, crf).count() == 0
 
 
+def test_quality_score_matches_the_definition():
+    """Whole scores: labels of all lines enumerated, marginals weighted by line length, then the logistic."""
+    rng = np.random.default_rng(9)
+    crf = quality.Crf(rng.normal(size=quality.N_EMISSION) / 3, rng.normal(size=(2, 2)), rng.normal(size=2), 0.7, -0.2, 0.4)
+    texts = ["One line only.", "First line!\n\n  \nSECOND 22 $$\nthird third third", "", "a\nb b\nC?\nd d d d\n" * 2]
+    for text, got in zip(texts, quality.quality_of(crf, texts)):
+        x, size, counts = quality.line_features([text])
+        if not len(x):
+            assert got == crf.share
+            continue
+        zero = np.zeros(quality.N_FEATURES)
+        score = [np.concatenate([x[i], x[i - 1] if i else zero, x[i + 1] if i + 1 < len(x) else zero]) @ crf.emission for i in range(len(x))]
+        total, good = 0.0, np.zeros(len(x))
+        for y in itertools.product((0, 1), repeat=len(x)):
+            w = math.exp(crf.start[y[0]] + sum(s for s, label in zip(score, y) if label) + sum(crf.transition[a, b] for a, b in zip(y, y[1:])))
+            total += w
+            good += w * np.array(y)
+        raw = float(good / total @ size / size.sum())
+        assert got == pytest.approx(1 / (1 + math.exp(-(crf.scale * math.log(raw / (1 - raw)) + crf.shift))), abs=1e-6)
+
+
 def test_neighbours_stay_within_a_text():
     x = np.arange(1, 6, dtype=np.float32)[:, None] * np.ones((1, quality.N_FEATURES), np.float32)
     wide = quality.with_neighbours(x, np.array([2, 0, 3]))
