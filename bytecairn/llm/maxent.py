@@ -62,7 +62,7 @@ LIMIT = 20.0
 #: Feature rows that travel together when sums are merged.
 PART = 1 << 12
 #: Tasks whose sums are merged before those of others, and tokens below which a round takes no further task.
-MERGE, TASK_TOKENS = 32, 1 << 22
+MERGE, TASK_TOKENS = 32, 1 << 24
 BEGIN = 0x9E3779B9
 END = b""
 LONG_WORD = 64
@@ -307,13 +307,13 @@ def _add_by_row(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None
     table[at] = _rows(table, at) + sums
 
 
-def local_sums(texts: Iterator[str | None], weights: Weights, observed: bool) -> tuple[np.ndarray, np.ndarray]:
-    """By class row and by slot row: what followed at every position of the texts, or what the model expected to."""
-    rows, word_rows = np.zeros_like(weights.rows), np.zeros_like(weights.word_rows)
+def local_sums(texts: Iterator[str | None], n_rows: int, weights: Weights | None) -> tuple[np.ndarray, np.ndarray]:
+    """By class row and by slot row: what followed at every position of the texts, or, given weights, what the model expected to."""
+    rows, word_rows = np.zeros((n_rows, CLASSES), np.float32), np.zeros((n_rows, SLOTS), np.float32)
 
     def add(tokens: Tokens) -> None:
-        for _, cls, slot, f, g in tokens.steps(len(rows)):
-            if observed:
+        for _, cls, slot, f, g in tokens.steps(n_rows):
+            if weights is None:
                 np.add.at(rows.reshape(-1), (f * CLASSES + cls[:, None]).ravel(), np.float32(1))
                 np.add.at(word_rows.reshape(-1), (g * SLOTS + slot[:, None]).ravel(), np.float32(1))
             else:
@@ -345,14 +345,14 @@ def _sum_parts(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": [key[0]], "part": [key[1]], "sums": [total.astype(np.float32).tobytes()]})
 
 
-def sums_over(dealt: DataFrame, n: int, weights: Weights, observed: bool) -> tuple[np.ndarray, np.ndarray]:
+def sums_over(dealt: DataFrame, n: int, n_rows: int, weights: Weights | None = None) -> tuple[np.ndarray, np.ndarray]:
     """``local_sums`` over all training texts (``n`` tokens). Every task gives the touched parts of the tables once; the driver gets their sums."""
     spark = dealt.sparkSession
     tasks = min(spark.sparkContext.defaultParallelism, n // TASK_TOKENS + 1)
-    shared = spark.sparkContext.broadcast(weights)  # 2 * MOST_ROWS rows at most
+    shared = None if weights is None else spark.sparkContext.broadcast(weights)  # 2 * MOST_ROWS rows at most
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = local_sums((t for pdf in batches for t in pdf["text"]), shared.value, observed)
+        sums = local_sums((t for pdf in batches for t in pdf["text"]), n_rows, shared and shared.value)
         task = TaskContext.get().partitionId() // MERGE
         for name, whole in zip(("rows", "word_rows"), sums):
             for part, at in enumerate(range(0, len(whole), PART)):
@@ -364,12 +364,13 @@ def sums_over(dealt: DataFrame, n: int, weights: Weights, observed: bool) -> tup
     schema = "name string, part int, sums binary"
     if tasks > MERGE:
         sums = sums.groupBy("name", "part", "task").applyInPandas(lambda key, pdf: _sum_parts(key[:2], pdf), schema)
-    out = np.zeros_like(weights.rows), np.zeros_like(weights.word_rows)
+    out = np.zeros((n_rows, CLASSES), np.float32), np.zeros((n_rows, SLOTS), np.float32)
     for r in sums.groupBy("name", "part").applyInPandas(_sum_parts, schema).collect():  # a row a part: the size of the model
         whole = out[r["name"] == "word_rows"]
         at = slice(r["part"] * PART, (r["part"] + 1) * PART)
         whole[at] = np.frombuffer(r["sums"], np.float32).reshape(whole[at].shape)
-    shared.unpersist()
+    if shared:
+        shared.destroy()
     return out
 
 
@@ -389,13 +390,13 @@ def train(dealt: DataFrame, vocab: Vocabulary, rows: int | None = None, rounds:
     weights = initial_weights(vocab, rows or rows_for(vocab))
     if not vocab.n or not rounds:
         return weights
-    observed = sums_over(dealt, vocab.n, weights, True)
+    observed = sums_over(dealt, vocab.n, len(weights.rows))
     prior = np.broadcast_to(np.exp(weights.bias), observed[0].shape), np.tile(np.exp(weights.word_bias), (len(observed[1]) // CLASSES, 1))
     # before the first step every row expects its classes by the biases
     expected = tuple(o.sum(axis=1, keepdims=True) * p for o, p in zip(observed, prior))
     for number in range(rounds):
         if number:
-            expected = sums_over(dealt, vocab.n, weights, False)
+            expected = sums_over(dealt, vocab.n, len(weights.rows), weights)
         _step(weights.rows, observed[0], expected[0], prior[0])
         _step(weights.word_rows, observed[1], expected[1], prior[1])
     return weights
@@ -440,6 +441,7 @@ def score(documents: DataFrame, held_out: Column, rows: int | None = None) -> Da
         both = dealt.groupBy("block").cogroup(counted.select("block", "word", "c").groupBy("block"))
         scored = both.applyInPandas(run, "doc_id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
         result = materialise(scored.withColumn("doc_id", F.col("doc_id").cast(id_type)))
+    shared.destroy()
     discard(spark, *paths)
     return result
 
