@@ -6,6 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +79,15 @@ def only_kept(spark: SparkSession) -> Iterator[Callable[[str], None]]:
         discard(spark, *[p for p in _SCRATCH if p not in before and p not in kept])
 
 
+def byte_slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[list[str | None]]:
+    """A batch's texts, some megabytes at a time, for workers of lazy scorers, whose batches the session bounds."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    cuts = np.flatnonzero(np.diff(ends // size, prepend=0)) if len(ends) else []
+    for a, b in zip([0, *cuts], [*cuts, len(texts)]):
+        if b > a:
+            yield texts.slice(a, b - a).to_pylist()
+
+
 #: Bytes of an Arrow batch that goes to a Python worker, for the sake of very long texts.
 BATCH_BYTES = 8 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"

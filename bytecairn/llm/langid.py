@@ -24,10 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, materialise, packed, table, unpacked
+from .common import bounded_batches, byte_slices, fold_of, materialise, packed, table, unpacked
 
 WINDOW = 384
 WIDTHS = (2, 3, 4)
@@ -212,12 +213,16 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         return unpacked(rows, documents.columns, lang_pred=F.lit(UNKNOWN), score=F.lit(0.0))
     shared = documents.sparkSession.sparkContext.broadcast(model)  # a column a language
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            names, p = scorer.predict(list(texts))
-            yield pd.DataFrame({"lang_pred": names, "score": p})
+            names, scores = [], []
+            for part in byte_slices(texts):
+                got, p = scorer.predict(part)
+                names += got
+                scores += p.tolist()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     has_letter = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
     scored = rows.withColumn("_p", predict(F.when(has_letter, F.col("row.text")).otherwise(F.lit("-"))))

@@ -25,10 +25,11 @@ from operator import eq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fold_of, materialise, packed, table, unpacked
+from .common import bounded_batches, byte_slices, fold_of, materialise, packed, table, unpacked
 
 PER_CLASS = 1500
 TRAIN_LINES = 128
@@ -257,9 +258,10 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column, per_class: int =
 def score_quality(documents: DataFrame, crf: Crf) -> DataFrame:
     """``documents`` with score (probability of label 1) and predicted."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(quality_of(crf, list(texts)))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        parts = [quality_of(crf, part) for part in byte_slices(texts)]
+        return pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
 
     scored = packed(documents).withColumn("_score", score("row.text"))
     return unpacked(scored, documents.columns, score=F.col("_score"), predicted=(F.col("_score") >= 0.5).cast("int"))
