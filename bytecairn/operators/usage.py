@@ -44,27 +44,33 @@ def integrals(islands: DataFrame, key: str, group: str) -> DataFrame:
 
 
 def shares(islands: DataFrame, integral: DataFrame, key: str, group: str, owner: str) -> DataFrame:
-    """By (owner, group, key): ``unique_bytes`` of the owner's islands and the ``share`` of them that it accounts for."""
-    ends = _ends(islands, owner, key, group).join(integral.select(key, group, "point", "own"), [key, group, "point"])
-    return ends.groupBy(owner, group, key).agg(F.sum(-F.col("turn") * F.col("point")).alias("unique_bytes"), F.sum(-F.col("turn") * F.col("own")).alias("share"))
+    """By (owner, group, key): ``unique_bytes`` of the owner's islands and the ``share`` of them that it accounts for; ``covered`` and ``union`` as far as they reach."""
+    ends = _ends(islands, owner, key, group).join(integral.select(key, group, "point", "own", "covered", "union"), [key, group, "point"])
+    return ends.groupBy(owner, group, key).agg(
+        F.sum(-F.col("turn") * F.col("point")).alias("unique_bytes"), F.sum(-F.col("turn") * F.col("own")).alias("share"), F.max("covered").alias("covered"), F.max("union").alias("union")
+    )
+
 
+def scope_rows(bucket_shares: DataFrame, key: str, group: str, owner: str) -> DataFrame:
+    """``shares`` at every scope (scope, scope_id, key, unique_bytes, share): a bucket's, a project's and the whole, whose uniques are unions.
 
-def scope_rows(bucket_shares: DataFrame, integral: DataFrame, key: str, group: str, owner: str) -> DataFrame:
-    """``shares`` at every scope (scope, scope_id, key, unique_bytes, share): a bucket's, a project's and the whole, whose uniques are unions."""
-    buckets = bucket_shares.select(F.lit("bucket").alias("scope"), F.col(owner).cast("string").alias("scope_id"), key, "unique_bytes", "share")
-    by_group = integral.groupBy(group, key).agg(F.max("covered").alias("unique_bytes"))
-    owed = bucket_shares.groupBy(group, key).agg(F.sum("share").alias("share"))
-    projects = by_group.join(owed, [group, key]).select(F.lit("project"), F.col(group).cast("string"), key, "unique_bytes", "share")
-    whole = integral.groupBy(key).agg(F.max("union").alias("unique_bytes")).select(F.lit("global"), F.lit(None).cast("string"), key, "unique_bytes", F.col("unique_bytes").cast("double"))
-    return buckets.unionAll(projects).unionAll(whole)
+    Somebody's island ends where a project's cover, and the whole's, ends, so the furthest that any of them reaches is all of it.
+    """
+    sets = bucket_shares.groupingSets([[key, group, owner], [key, group], [key]], key, group, owner).agg(
+        F.sum("unique_bytes").alias("_own"), F.sum("share").alias("share"), F.max("covered").alias("_covered"), F.max("union").alias("_union"), F.grouping_id(key, group, owner).alias("_set")
+    )
+    bucket, project = F.col("_set") == 0, F.col("_set") == 1
+    scope_id = F.when(bucket, F.col(owner).cast("string")).when(project, F.col(group).cast("string"))
+    unique = F.when(bucket, F.col("_own")).when(project, F.col("_covered")).otherwise(F.col("_union"))
+    return sets.select(F.when(bucket, "bucket").when(project, "project").otherwise("global").alias("scope"), scope_id.alias("scope_id"), key, unique.alias("unique_bytes"), "share")
 
 
-def encoded_rates(integral: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+def encoded_rates(bucket_shares: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
     """By chunk in use: source_type, source and ``rate``, the stored bytes of its source by raw byte; null where none holds it yet.
 
     ``chunks`` has chunk_id, source_type, source and stored (each source's stored bytes being the sum over its chunks).
     """
-    used = integral.groupBy(key).agg(F.max("union").alias("bytes"))
+    used = bucket_shares.groupBy(key).agg(F.max("union").alias("bytes"))
     sourced = chunks.join(used, key, "left")
     rate = sourced.where(F.col("source").isNotNull()).groupBy("source_type", "source").agg((F.sum("stored") / F.sum("bytes")).alias("rate"))
     return sourced.where(F.col("bytes").isNotNull()).select(key, "source_type", "source").join(rate, ["source_type", "source"], "left")

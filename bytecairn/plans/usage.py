@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bytecairn.operators import intervals as iv
 from bytecairn.operators import usage as us
+from bytecairn.sources import io
 from bytecairn.sources import model as m
 from bytecairn.sources.model import sql, table
 
@@ -73,28 +74,25 @@ def interval_coverage(spark, d):
 
 
 def _shared(spark, d):
-    """Islands with their project, the integrals of their chunks, and each bucket's share of each chunk."""
+    """Each bucket's share of each chunk, from islands with their project and the integrals of their chunks."""
     islands = _islands(spark, d).join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
-    integral = us.integrals(islands, "chunk_id", "project_id")
-    return integral, us.shares(islands, integral, "chunk_id", "project_id", "bucket_id")
+    return us.shares(islands, us.integrals(islands, "chunk_id", "project_id"), "chunk_id", "project_id", "bucket_id")
 
 
 def fair_share_bytes(spark, d):
-    _, shares = _shared(spark, d)
-    return shares.groupBy("project_id").agg(F.round(F.sum("share"), 3).alias("fair_bytes"), F.sum("unique_bytes").alias("unique_bytes"), F.countDistinct("bucket_id").alias("buckets"))
+    return _shared(spark, d).groupBy("project_id").agg(F.round(F.sum("share"), 3).alias("fair_bytes"), F.sum("unique_bytes").alias("unique_bytes"), F.countDistinct("bucket_id").alias("buckets"))
 
 
 def usage_summary(spark, d):
     """Flagship: per bucket, project and the whole, from logical bytes to what they cost physically, raw sources included."""
-    integral, shares = _shared(spark, d)
+    shares = io.materialised(_shared(spark, d))  # read by every scope and for the rates: computed once, a row a bucket and chunk
     chunks = m.chunks(spark, d).select("chunk_id", F.when(F.col("kind") == "encoding", "chunk").otherwise(F.col("kind")).alias("source_type"), "source", "stored")
-    rates = us.encoded_rates(integral, chunks)
+    rates = us.encoded_rates(shares, chunks)
     raw = us.raw_shares(m.raw_references(spark, d))
     streams = m.objects(spark, d).select(F.col("object_id").alias("stream_id"))
     inventory = us.raw_inventory(m.raw_sources(spark, d), m.raw_ranges(spark, d), streams)
-    in_use = m.extents(spark, d).where("lo < hi").join(m.objects(spark, d), F.col("stream_id") == F.col("object_id"), "left_semi").select("chunk_id").distinct()
-    whole = us.bridge(m.physical(spark, d), chunks.join(in_use, "chunk_id", "left_semi"), inventory)
-    rows = us.scope_rows(shares, integral, "chunk_id", "project_id", "bucket_id")
+    whole = us.bridge(m.physical(spark, d), rates.where(F.col("source").isNotNull()), inventory)
+    rows = us.scope_rows(shares, "chunk_id", "project_id", "bucket_id")
     return us.summary(us.logical_scopes(m.buckets(spark, d), m.quotas(spark, d)), rows, rates, us.raw_scopes(raw), whole)
 
 

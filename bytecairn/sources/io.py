@@ -82,3 +82,24 @@ def write_packs(members: DataFrame, content: Column, path: str, header: bytes =
     gathered = placed.groupBy("pack").agg(F.array_sort(F.collect_list(F.struct("offset", "member", "length", F.hex("_content").alias("body")))).alias("m"))
     body = F.unhex(F.concat(F.lit(header.hex()), F.array_join(F.transform("m", lambda x: x["body"]), "")))
     gathered.select("pack", F.transform("m", lambda x: F.struct(x["member"].alias("member"), x["offset"].alias("offset"), x["length"].alias("length"))).alias("members"), body.alias("body")).write.parquet(path)
+
+
+#: Used only where nothing names a folder and driver and executors are one machine, as in tests.
+LOCAL_FOLDER = "file:///tmp/checkpoints/bytecairn-tables"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's setting, else the context's; a local one in local mode only."""
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (chosen.get().rpartition("/")[0] if chosen.isDefined() else None)
+    if base is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    return (base or LOCAL_FOLDER).rstrip("/")
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """``df`` computed once: a reliable checkpoint in the shared folder, so that no lost executor undoes it."""
+    spark = df.sparkSession
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint(eager=True)

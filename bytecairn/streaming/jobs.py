@@ -15,19 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from bytecairn.operators import history, telemetry
-
-#: Used only where nothing names a folder and driver and executors are one machine, as in tests.
-LOCAL_STATE = "file:///tmp/checkpoints/bytecairn-streams"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's setting, else the context's; a local one in local mode only."""
-    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
-    base = spark.conf.get("spark.checkpoint.dir", None) or (chosen.get().rpartition("/")[0] if chosen.isDefined() else None)
-    if base is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
-    return (base or LOCAL_STATE).rstrip("/")
-
+from bytecairn.sources import io
 
 def hourly_access(events: DataFrame, lateness: str = "40 days") -> DataFrame:
     """Hourly counters by event type; repeated event ids count once, events later than ``lateness`` are dropped."""
@@ -96,7 +84,7 @@ def counter_rates(samples: DataFrame, counters: list[str], max_seconds: int, lat
 
 def drain(spark: SparkSession, stream: DataFrame, keys: list[str], newest: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """Run ``stream`` over all input present; the sink's rows, of which ``newest`` picks each key's last."""
-    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{io.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/out/number={number}")

@@ -57,14 +57,14 @@ def brute_shares(rows):
 def shared(spark, rows):
     islands = iv.merge_intervals(spark.createDataFrame(rows, "bucket string, project string, chunk_id long, lo long, hi long"), ["bucket", "project", "chunk_id"])
     integral = us.integrals(islands, "chunk_id", "project")
-    return islands, integral, us.shares(islands, integral, "chunk_id", "project", "bucket")
+    return islands, us.shares(islands, integral, "chunk_id", "project", "bucket")
 
 
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 1), st.integers(0, 25), st.integers(0, 12)), max_size=30))
 def test_shares_match_brute_force(spark, rows):
     data = [(f"b{b}", f"p{b % 3}", c, lo, lo + n) for b, c, lo, n in rows]
-    islands, _, shares = shared(spark, data)
+    islands, shares = shared(spark, data)
     got = {(r["bucket"], r["chunk_id"]): (r["unique_bytes"], r["share"]) for r in shares.collect()}
     want = brute_shares(data)
     assert set(got) == set(want)
@@ -83,7 +83,7 @@ PHYSICAL = [("chunk", "5", "ready", 2 * UNIT, False), ("chunk", "6", "retired",
 def golden(spark, physical=(), raw=(), raw_ranges=(), extra=()):
     """The golden case in bytes; with further physical rows, raw sources (id, size) and their ranges (stream, source)."""
     used = [(b, PROJECTS[b], c, o * UNIT, (o + n) * UNIT) for b, c, o, n in REFERENCES]
-    _, integral, shares = shared(spark, used)
+    _, shares = shared(spark, used)
     quotas = [(b, sum(n for x, _, _, n in REFERENCES if x == b) * UNIT, sum(x == b for x, *_ in REFERENCES)) for b in PROJECTS]
     buckets = spark.createDataFrame(list(PROJECTS.items()), "bucket_id string, project_id string")
     # a pack's stored bytes stand at one of its chunks
@@ -95,8 +95,8 @@ def golden(spark, physical=(), raw=(), raw_ranges=(), extra=()):
     references = spark.createDataFrame(sorted({(s, PROJECTS[s], i, sizes[i]) for s, i in raw_ranges if s in PROJECTS}), "bucket_id string, project_id string, source_id long, size long")
     whole = us.bridge(spark.createDataFrame([*PHYSICAL, *physical], "source_type string, source string, state string, stored long, garbage boolean"), chunks.where("chunk_id IN (1, 2, 3, 5)"), us.raw_inventory(sources, ranges, streams))
     usage = us.summary(
-        us.logical_scopes(buckets, spark.createDataFrame(quotas, "bucket_id string, used_bytes long, object_count long")), us.scope_rows(shares, integral, "chunk_id", "project", "bucket"),
-        us.encoded_rates(integral, chunks), us.raw_scopes(us.raw_shares(references)), whole,
+        us.logical_scopes(buckets, spark.createDataFrame(quotas, "bucket_id string, used_bytes long, object_count long")), us.scope_rows(shares, "chunk_id", "project", "bucket"),
+        us.encoded_rates(shares, chunks), us.raw_scopes(us.raw_shares(references)), whole,
     )
     return {r["scope_id"] or "global": r for r in usage.collect()}
 
