@@ -141,11 +141,15 @@ def summary(logical: DataFrame, rows: DataFrame, rates: DataFrame, raw: DataFram
     ``encoded_bytes`` and ``encoding_savings`` are null while any of the scope's bytes are pending. The bridge stands in the global row alone.
     """
     zero = lambda c: F.coalesce(c, F.lit(0))
+    # by source first, so that packs are counted without a distinct
     joined = rows.join(rates, key)
-    pack, pending = F.col("source_type") == "pack", F.col("rate").isNull()
-    sums = joined.groupBy("scope", "scope_id").agg(
-        F.count(F.lit(1)).alias("chunks"), F.countDistinct(F.when(pack, F.col("source"))).alias("packs"), F.sum("unique_bytes").alias("unique_bytes"), F.sum("share").alias("share"), F.sum(F.col("share") * F.col("rate")).alias("encoded"), F.bool_and(~pending).alias("complete"),
-        F.sum(F.when(pack, F.col("unique_bytes")).otherwise(0)).alias("packed_bytes"), F.sum(F.when(pending, F.col("unique_bytes")).otherwise(0)).alias("pending_bytes"),
+    by_source = joined.groupBy("scope", "scope_id", "source_type", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("unique_bytes").alias("unique_bytes"), F.sum("share").alias("share"), F.sum(F.col("share") * F.col("rate")).alias("encoded"), F.bool_and(F.col("rate").isNotNull()).alias("complete")
+    )
+    pack = F.col("source_type") == "pack"
+    sums = by_source.groupBy("scope", "scope_id").agg(
+        F.sum("n").alias("chunks"), F.count_if(pack).alias("packs"), F.sum("unique_bytes").alias("unique_bytes"), F.sum("share").alias("share"), F.sum("encoded").alias("encoded"), F.bool_and("complete").alias("complete"),
+        F.sum(F.when(pack, F.col("unique_bytes")).otherwise(0)).alias("packed_bytes"), F.sum(F.when(~F.col("complete"), F.col("unique_bytes")).otherwise(0)).alias("pending_bytes"),
     )
     same = lambda other: logical["scope"].eqNullSafe(other["scope"]) & logical["scope_id"].eqNullSafe(other["scope_id"])
     all_ = logical.join(sums, same(sums), "left").drop(sums["scope"], sums["scope_id"]).join(raw, same(raw), "left").drop(raw["scope"], raw["scope_id"])
