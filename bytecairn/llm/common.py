@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None and chosen.isDefined():
         base = chosen.get().rpartition("/")[0]  # the context appends a folder of its own
     if base is None:
-        if not context.master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         base = LOCAL_CHECKPOINTS
     if not chosen.isDefined():
