@@ -219,11 +219,8 @@ QUERIES = {
     "catalog_category": (
         catalog_category,
         f"WITH p AS (SELECT page_id, lower({_KEY}) AS key, {_MIME} AS mime FROM pages) SELECT page_id, CASE "
-        "WHEN mime LIKE 'image/%' OR regexp_matches(key, '\\.(png|jpe?g|webp|gif|avif|svg|bmp|heic)$') THEN 'image' "
-        "WHEN mime LIKE 'video/%' OR regexp_matches(key, '\\.(mp4|webm|mkv|mov|avi|m4v)$') THEN 'video' "
-        "WHEN mime LIKE 'audio/%' OR regexp_matches(key, '\\.(mp3|ogg|opus|wav|flac|aac|m4a)$') THEN 'audio' "
-        "WHEN regexp_matches(key, '\\.(zip|gz|7z|rar|tar|zst)$') THEN 'archive' "
-        "WHEN mime LIKE 'text/%' OR regexp_matches(key, '\\.(pdf|txt|md|json|csv|html?|xml|docx?|xlsx?|pptx?)$') THEN 'document' ELSE 'other' END AS category FROM p",
+        + " ".join(f"WHEN regexp_matches(mime, '{types}') OR regexp_matches(key, '{extensions}') THEN '{name}'" for name, types, extensions in fx.CATEGORIES)
+        + " ELSE 'other' END AS category FROM p",
     ),
     "list_common_prefixes": (
         list_common_prefixes,

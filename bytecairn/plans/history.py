@@ -76,10 +76,13 @@ def _generations(spark, d):
     c = m.changes(spark, d)
     opens = (F.col("kind") == "signup") & (F.col("key") < 20)
     ready = (F.col("kind") == "purchase") & (F.col("key") < 20)
-    order = Window.partitionBy("bucket").orderBy("seq")
-    generation = F.sum(F.when(opens, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     op = F.when(opens, "start").when(ready, "ready").otherwise(F.col("op"))
-    return c.select("bucket", "key", "seq", op.alias("op"), generation.alias("generation"), "size")
+    # only the changes that open a generation, which are few, are put in order; the others fall between two of them
+    order = Window.partitionBy("_b").orderBy("_from")
+    starts = c.where(opens).select(F.col("bucket").alias("_b"), F.col("seq").alias("_from"))
+    spans = starts.withColumns({"_g": F.row_number().over(order).cast("long"), "_until": F.lead("_from").over(order)})
+    inside = (F.col("bucket") == F.col("_b")) & (F.col("seq") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("seq") < F.col("_until")))
+    return c.join(spans, inside, "left").select("bucket", "key", "seq", op.alias("op"), F.coalesce("_g", F.lit(0).cast("long")).alias("generation"), "size")
 
 
 GENERATIONS = """, g AS (SELECT bucket, key, seq, size, CASE WHEN kind = 'signup' AND key < 20 THEN 'start' WHEN kind = 'purchase' AND key < 20 THEN 'ready' ELSE op END AS op,

@@ -92,7 +92,7 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's setting, else the context's; a local one in local mode only."""
     chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
     base = spark.conf.get("spark.checkpoint.dir", None) or (chosen.get().rpartition("/")[0] if chosen.isDefined() else None)
-    if base is None and not spark.sparkContext.master.startswith("local["):
+    if base is None and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     return (base or LOCAL_FOLDER).rstrip("/")
 
