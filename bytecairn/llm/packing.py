@@ -46,6 +46,8 @@ NEARLY_FULL = 0.999
 FAN_IN = 8
 #: Tokens, and pieces, of a partition that is packed locally.
 LOCAL_TOKENS, LOCAL_PIECES = 1 << 24, 1 << 20
+#: Bytes of ids that a task holds before it writes them.
+ROW_GROUP = 16 << 20
 CACHE_WORDS = 500_000
 CACHE_PARTS = 300_000
 VOCABULARY = "word_bpe_49k.json"
@@ -304,7 +306,7 @@ def packed_corpus(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = documents.sparkSession
     path = scratch_path(spark, "pieces")
     with bounded_batches(spark):
-        pieces(documents, capacity, with_ids=True).withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(path)
+        pieces(documents, capacity, with_ids=True).withColumn("_row", F.monotonically_increasing_id()).write.option("compression", "zstd").option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     stored = spark.read.parquet(path)
     placed = pack(stored.drop("ids"), capacity).select("_row", "sequence_id", "offset")
     return stored.join(placed, "_row").drop("_row")
