@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytecairn.llm import decontaminate, langid, linededup, packing, simhash
-from bytecairn.llm.common import fold_of, only_kept, scratch_path, table
+from bytecairn.llm.common import bounded_batches, fold_of, only_kept, scratch_path, table
 
 #: Below this probability a document counts as being in no learned language.
 LEAST_SCORE = 0.5
@@ -30,10 +30,16 @@ def _columns(documents: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a learned language; ``lang`` becomes the predicted one."""
+    """Keeps documents in a learned language; ``lang`` becomes the predicted one.
+
+    Written here, while batches are bounded, since the texts go through Python.
+    """
     model = langid.fit(docs, fold_of(F.col("doc_id"), 3) != 1)
     kept = langid.identify(docs, model).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return _columns(kept.withColumn("lang", F.col("lang_pred")))
+    path = scratch_path(spark, "languages")
+    with bounded_batches(spark):
+        _columns(kept.withColumn("lang", F.col("lang_pred"))).write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
