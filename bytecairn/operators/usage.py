@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytecairn.operators.intervals import dealt
+
 
 def _ends(islands: DataFrame, *keys: str) -> DataFrame:
     """Two rows an island: its ends, +1 where it begins and -1 where it ends."""
@@ -18,12 +20,13 @@ def _ends(islands: DataFrame, *keys: str) -> DataFrame:
     return islands.select(*keys, F.inline(ends))
 
 
-def integrals(islands: DataFrame, key: str, group: str) -> DataFrame:
+def integrals(islands: DataFrame, key: str, group: str, parts: int | None = None) -> DataFrame:
     """By (key, group, point): ``whole``, the integral up to the point of one over the groups that cover it; ``own``, the same divided by the
-    group's owners, where it has any; ``covered``, the group's bytes up to the point, and ``union``, those of all groups."""
-    points = _ends(islands, key, group).groupBy(key, group, "point").agg(F.sum("turn").alias("turn"))
+    group's owners, where it has any; ``covered``, the group's bytes up to the point, and ``union``, those of all groups. ``parts``: ``parts_for`` the islands."""
+    parts = 2 * parts if parts else None  # an island has two ends
+    points = dealt(_ends(islands, key, group), parts, key, group, "point").groupBy(key, group, "point").agg(F.sum("turn").alias("turn"))
     # all that follows is ordered by key, and is dealt by it once
-    points = points.repartition(key)
+    points = dealt(points, parts, key)
     until = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     within, along = Window.partitionBy(key, group).orderBy("point"), Window.partitionBy(key).orderBy("point", group)
@@ -43,10 +46,11 @@ def integrals(islands: DataFrame, key: str, group: str) -> DataFrame:
     )
 
 
-def shares(islands: DataFrame, integral: DataFrame, key: str, group: str, owner: str) -> DataFrame:
+def shares(islands: DataFrame, integral: DataFrame, key: str, group: str, owner: str, parts: int | None = None) -> DataFrame:
     """By (owner, group, key): ``unique_bytes`` of the owner's islands and the ``share`` of them that it accounts for; ``covered`` and ``union`` as far as they reach."""
     ends = _ends(islands, owner, key, group).join(integral.select(key, group, "point", "own", "covered", "union"), [key, group, "point"])
-    return ends.groupBy(owner, group, key).agg(
+    # the join's sorts and the groups are in tasks of their own
+    return dealt(ends, 2 * parts if parts else None, owner, group, key).groupBy(owner, group, key).agg(
         F.sum(-F.col("turn") * F.col("point")).alias("unique_bytes"), F.sum(-F.col("turn") * F.col("own")).alias("share"), F.max("covered").alias("covered"), F.max("union").alias("union")
     )
 

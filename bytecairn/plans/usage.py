@@ -35,7 +35,9 @@ SELECT source_type, state, count(*) AS count, CAST(sum(bytes) AS BIGINT) AS byte
 
 
 def _islands(spark, d):
-    return iv.merge_intervals(_used(spark, d), ["bucket_id", "chunk_id"])
+    """Islands by bucket and chunk, and the number of tasks that they are dealt to."""
+    parts = iv.parts_for(m.extents(spark, d))
+    return iv.merge_intervals(_used(spark, d), ["bucket_id", "chunk_id"], parts=parts), parts
 
 
 ISLANDS = """, du AS (SELECT DISTINCT bucket_id, chunk_id, lo, hi FROM used WHERE lo < hi),
@@ -60,23 +62,25 @@ USAGE_VIEWS = ("objects", "extents", "buckets", "chunks", "used")
 
 
 def merged_intervals(spark, d):
-    return _islands(spark, d)
+    return _islands(spark, d)[0]
 
 
 def interval_segments(spark, d):
-    return iv.boundary_segments(_islands(spark, d), "chunk_id")
+    islands, parts = _islands(spark, d)
+    return iv.boundary_segments(islands, "chunk_id", parts)
 
 
 def interval_coverage(spark, d):
     """Segments, and their bytes, inside the islands of each bucket: by the ranks of an island's ends among its chunk's points, without a join of islands and segments."""
-    islands = _islands(spark, d)
-    return iv.covered_counts(islands, "chunk_id", "bucket_id").groupBy("bucket_id").agg(F.sum("segments").alias("segments"), F.sum("bytes").alias("bytes"))
+    islands, parts = _islands(spark, d)
+    return iv.covered_counts(islands, "chunk_id", "bucket_id", parts).groupBy("bucket_id").agg(F.sum("segments").alias("segments"), F.sum("bytes").alias("bytes"))
 
 
 def _shared(spark, d):
     """Each bucket's share of each chunk, from islands with their project and the integrals of their chunks."""
-    islands = _islands(spark, d).join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
-    return us.shares(islands, us.integrals(islands, "chunk_id", "project_id"), "chunk_id", "project_id", "bucket_id")
+    islands, parts = _islands(spark, d)
+    islands = islands.join(m.buckets(spark, d).select("bucket_id", "project_id"), "bucket_id")
+    return us.shares(islands, us.integrals(islands, "chunk_id", "project_id", parts), "chunk_id", "project_id", "bucket_id", parts)
 
 
 def fair_share_bytes(spark, d):
