@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: A pack's header, most members, and the widest range that one read fetches.
@@ -80,11 +80,16 @@ def coalesced_gets(ranges: DataFrame, keys: list[str], max_range: int = MAX_RANG
     return spans.repartition(*keys).sortWithinPartitions(*keys, "lo", "hi").mapInPandas(run, schema)
 
 
+def begins_run(keys: list[str]) -> Column:
+    """1 where a range (``lo`` < ``hi``) begins a read of its key, 0 where it is adjacent to the one before it or repeats it."""
+    order = Window.partitionBy(*keys).orderBy("lo", "hi")
+    lo, hi = F.lag("lo").over(order), F.lag("hi").over(order)
+    return F.when(hi.eqNullSafe(F.col("lo")) | (lo.eqNullSafe(F.col("lo")) & hi.eqNullSafe(F.col("hi"))), 0).otherwise(1)
+
+
 def adjacent_runs(ranges: DataFrame, keys: list[str]) -> DataFrame:
     """The same where only adjacency matters, as islands in SQL windows."""
-    order = Window.partitionBy(*keys).orderBy("lo", "hi")
-    opens = F.when(F.lag("hi").over(order).eqNullSafe(F.col("lo")), 0).otherwise(1)
-    spans = ranges.where("lo < hi").select(*keys, "lo", "hi").distinct().withColumn("_open", opens)
+    spans = ranges.where("lo < hi").select(*keys, "lo", "hi").distinct().withColumn("_open", begins_run(keys))
     return spans.groupBy(*keys).agg(F.sum("_open").alias("gets"), F.sum(F.col("hi") - F.col("lo")).alias("bytes"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bytecairn.operators import packs, telemetry as tm, tiering
+from bytecairn.operators import intervals as iv, packs, telemetry as tm, tiering
 from bytecairn.sources import model as m
 from bytecairn.sources.model import sql, table
 
@@ -172,12 +172,15 @@ def adjacent_runs(spark, d):
 
 
 def repack_gain(spark, d):
-    """Reads that a stream needs now less those after its chunks move into one pack, by requests."""
+    """Reads that a stream needs now less those after its chunks move into one pack, by requests: one pass by chunk of a stream, one by stream."""
     e = m.extents(spark, d)
-    before = packs.adjacent_runs(e, ["stream_id", "chunk_id"]).groupBy("stream_id").agg(F.sum("gets").alias("before"))
-    after = packs.adjacent_runs(packs.layout(e.groupBy("stream_id", "chunk_id").agg(F.max(F.col("hi") - F.col("lo")).alias("length")), "stream_id", "chunk_id", "length").select("stream_id", F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi")), ["stream_id"]).select("stream_id", F.col("gets").alias("after"))
+    parts = iv.parts_for(e)
+    spans = iv.dealt(e.where("lo < hi").select("stream_id", "chunk_id", "lo", "hi"), parts, "stream_id", "chunk_id").withColumn("open", packs.begins_run(["stream_id", "chunk_id"]))
+    members = spans.groupBy("stream_id", "chunk_id").agg(F.sum("open").alias("gets"), F.max(F.col("hi") - F.col("lo")).alias("length"))
+    laid = packs.layout(iv.dealt(members, parts, "stream_id"), "stream_id", "chunk_id", "length").select("stream_id", "gets", F.col("offset").alias("lo"), (F.col("offset") + F.col("length")).alias("hi"))
+    reads = laid.withColumn("open", packs.begins_run(["stream_id"])).groupBy("stream_id").agg(F.sum("gets").alias("before"), F.sum("open").alias("after"))
     requests = m.objects(spark, d).select(F.col("object_id").alias("stream_id"), (F.col("bucket_id") % 9 + 1).alias("requests"))
-    return before.join(after, "stream_id").join(requests, "stream_id").select("stream_id", "before", "after", (F.col("requests") * (F.col("before") - F.col("after"))).alias("gain"))
+    return reads.join(requests, "stream_id").select("stream_id", "before", "after", (F.col("requests") * (F.col("before") - F.col("after"))).alias("gain"))
 
 
 def read_shapes(spark, d):

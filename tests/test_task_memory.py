@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bytecairn.operators import intervals as iv
+from bytecairn.operators import packs
 from bytecairn.plans import catalogue
 from bytecairn.sources import model as m
 
@@ -12,7 +13,7 @@ def tasks(df):
     return df.rdd.getNumPartitions()
 
 
-@pytest.mark.parametrize("name", ["merged_intervals", "interval_segments", "interval_coverage", "fair_share_bytes", "usage_summary", "conservation_check"])
+@pytest.mark.parametrize("name", ["merged_intervals", "interval_segments", "interval_coverage", "fair_share_bytes", "usage_summary", "conservation_check", "repack_gain"])
 def test_more_rows_are_more_tasks(spark, data, monkeypatch, name):
     """The steps by key take as many tasks as there are rows for."""
     dealt, seen = iv.dealt, []
@@ -29,3 +30,10 @@ def test_dealt_steps_stay_dealt(spark):
     islands = iv.merge_intervals(rows, ["k"], parts=37)
     assert tasks(islands) == 37
     assert tasks(iv.boundary_segments(islands, "k", 37)) == 74
+
+
+def test_repeats_open_no_run(spark):
+    rows = [("s", 0, 4), ("s", 0, 4), ("s", 4, 6), ("s", 4, 6), ("s", 7, 9), ("s", 7, 9), ("s", 7, 8)]
+    df = spark.createDataFrame(rows, "k string, lo long, hi long")
+    opened = df.withColumn("open", packs.begins_run(["k"])).agg(F.sum("open")).first()[0]
+    assert opened == packs.adjacent_runs(df, ["k"]).first()["gets"] == 3
