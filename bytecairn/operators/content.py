@@ -139,20 +139,23 @@ def compression_policy(rows: DataFrame, content: Column, mode: str = "sample", s
     if mode != "sample":
         return rows.withColumn("compress", F.lit(mode == "always"))
 
+    # samples are cut before Python, which never holds a content
+    n = F.octet_length(content)
+    width = F.least(F.greatest(F.floor(n / 64).cast("int"), F.lit(256)), F.lit(65_536), n)
+    step = F.greatest(F.lit(1), F.floor((n - width) / max(1, samples - 1)).cast("int"))
+    seen = F.aggregate(F.sequence(F.lit(0), n - width, step), F.lit(b""), lambda a, at: F.concat(a, F.substring(content, at + 1, width)))
+
     @F.pandas_udf("boolean")
-    def decide(column: pd.Series) -> pd.Series:
-        def one(data: bytes | None) -> bool:
-            if not data:
+    def decide(column: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(seen: bytes | None, size: int) -> bool:
+            if not seen:
                 return False
-            width = min(max(len(data) // 64, 256), 65_536, len(data))
-            step = max(1, (len(data) - width) // max(1, samples - 1)) if len(data) > width else len(data)
-            seen = b"".join(data[at : at + width] for at in range(0, len(data) - width + 1, step))
             saved = len(seen) - len(zlib.compress(seen, 1))
-            return saved * len(data) >= max(least_bytes * len(seen), least_percent * len(data) * len(seen) // 100)
+            return saved * int(size) >= max(least_bytes * len(seen), least_percent * int(size) * len(seen) // 100)
 
-        return column.map(one)
+        return pd.Series([one(s, n) for s, n in zip(column, sizes)], dtype=bool)
 
-    return rows.withColumn("compress", decide(content))
+    return rows.withColumn("compress", decide(F.when(n > 0, seen), F.coalesce(n, F.lit(0))))
 
 
 def interval_issues(extents: DataFrame, sizes: DataFrame) -> DataFrame:

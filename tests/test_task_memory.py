@@ -1,8 +1,11 @@
-"""What one task holds: steps over ranges are dealt by the number of rows."""
+"""What one task holds: steps over ranges are dealt by the number of rows, and contents stay out of Python."""
+
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
+from bytecairn.operators import content as ct
 from bytecairn.operators import intervals as iv
 from bytecairn.operators import packs
 from bytecairn.plans import catalogue
@@ -37,3 +40,31 @@ def test_repeats_open_no_run(spark):
     df = spark.createDataFrame(rows, "k string, lo long, hi long")
     opened = df.withColumn("open", packs.begins_run(["k"])).agg(F.sum("open")).first()[0]
     assert opened == packs.adjacent_runs(df, ["k"]).first()["gets"] == 3
+
+
+def whole(data, samples=4, least_bytes=64, least_percent=5):
+    if not data:
+        return False
+    width = min(max(len(data) // 64, 256), 65_536, len(data))
+    step = max(1, (len(data) - width) // max(1, samples - 1)) if len(data) > width else len(data)
+    seen = b"".join(data[at : at + width] for at in range(0, len(data) - width + 1, step))
+    saved = len(seen) - len(zlib.compress(seen, 1))
+    return saved * len(data) >= max(least_bytes * len(seen), least_percent * len(data) * len(seen) // 100)
+
+
+def test_compression_reads_samples_only(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    contents = [None, b""] + [rng.choice([rng.randbytes(n), b"abc " * (n // 4 + 1), (b"x" * (n // 2)) + rng.randbytes(n - n // 2)]) for n in [1, 2, 255, 256, 257, 258, 261, 264, 300, 1000, 16384, 16385, 20_000, 300_000, 5_000_000] * 3]
+    df = spark.createDataFrame(list(enumerate(contents)), "i int, content binary")
+    decided = ct.compression_policy(df, F.col("content"))
+    assert {r["i"]: r["compress"] for r in decided.select("i", "compress").collect()} == {i: whole(c) for i, c in enumerate(contents)}
+    given, real = [], F.pandas_udf
+
+    def spied(kind):
+        return lambda f: (lambda *cols: given.append(cols) or real(f, kind)(*cols))
+
+    monkeypatch.setattr(ct.F, "pandas_udf", spied)
+    ct.compression_policy(df, F.col("content"))
+    assert df.select(F.max(F.octet_length(given[0][0]))).first()[0] <= 6 * 65_536
