@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -107,6 +109,14 @@ def bounded_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_BATCH_SETTING, before)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, for the end of a task: Spark keeps its Python worker, beside those of other stages, and its memory with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_parallel(rows: DataFrame) -> DataFrame:
     """``rows`` of a table in fewer files than there are cores, dealt anew, since a file may be one row group; others as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, byte_slices, fold_of, materialise, packed, table, unpacked
+from .common import bounded_batches, byte_slices, fold_of, give_back, materialise, packed, table, unpacked
 
 WINDOW = 384
 WIDTHS = (2, 3, 4)
@@ -223,6 +223,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                 names += got
                 scores += p.tolist()
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        give_back()
 
     has_letter = F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))
     scored = rows.withColumn("_p", predict(F.when(has_letter, F.col("row.text")).otherwise(F.lit("-"))))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, in_parallel, materialise, scratch_path, slices, table
+from .common import bounded_batches, give_back, in_parallel, materialise, scratch_path, slices, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -123,6 +123,8 @@ def pieces(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out if with_ids else out.drop(columns="ids")
+        del tokenizer
+        give_back()
 
     return in_parallel(documents.select("doc_id", "text")).select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECE + (", ids array<int>" if with_ids else ""))
 
